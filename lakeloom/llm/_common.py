@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python kernel works on at once; arrays of a kernel take a few dozen times that.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 

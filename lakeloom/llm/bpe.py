@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +28,9 @@ from lakeloom.llm._common import CHUNK_BYTES, spans, utf8
 
 LETTER, NUMBER, SPACE, OTHER, SPECIAL = 1, 2, 3, 4, 5
 #: Distinct pre-tokens whose ids a task keeps; beyond it the table starts anew.
-TABLE_WORDS = 2_000_000
+TABLE_WORDS = 1_000_000
 #: Text bytes whose distinct pre-tokens are merged together.
-MERGE_BYTES = 1 << 23
+MERGE_BYTES = 1 << 22
 
 
 def byte_symbols() -> dict[str, int]:
@@ -220,9 +219,9 @@ class Vocabulary:
             return np.zeros(0, np.int32), np.zeros(len(lengths), np.int64)
         ends = np.cumsum(lengths)
         sym = self.of_byte[data]
-        nxt = np.arange(1, n + 1)
+        nxt = np.arange(1, n + 1, dtype=np.int32)
         nxt[ends - 1] = -1
-        prv = np.arange(-1, n - 1)
+        prv = np.arange(-1, n - 1, dtype=np.int32)
         prv[ends - lengths] = -1
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -305,8 +304,15 @@ class Encoder:
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The word number of each pre-token; new ones are merged and added."""
-        h = slice_hashes(data, starts, ends)
-        codes, uniques = pd.factorize(h)
+        h, h2 = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):  # hashing takes some 30 bytes a byte, so in pieces
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + (CHUNK_BYTES >> 1))))
+            s, e = int(starts[at]), int(ends[to - 1])
+            for which, out in enumerate((h, h2)):
+                out[at:to] = slice_hashes(data[s:e], starts[at:to] - s, ends[at:to] - s, which)
+            at = to
+        uniques, one, codes = np.unique(h, return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, uniques)
         inside = np.minimum(place, max(0, len(self.known) - 1))
         old = self.known[inside] == uniques if len(self.known) else np.zeros(len(uniques), bool)
@@ -314,10 +320,7 @@ class Encoder:
         if old.any():
             number[old] = self.where[inside[old]]
         new = np.flatnonzero(~old)
-        h2 = slice_hashes(data, starts, ends, 1)
         if len(new):
-            one = np.empty(len(uniques), np.int64)
-            one[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)  # the first pre-token of each
             s, n = starts[one[new]], (ends - starts)[one[new]]
             ids, count = self.v.encode_words(gather(data, s, n), n)
             number[new] = len(self.len) + np.arange(len(new))
@@ -325,9 +328,8 @@ class Encoder:
             self.len = np.concatenate([self.len, count])
             self.ids = np.concatenate([self.ids, ids])
             self.check = np.concatenate([self.check, h2[one[new]]])
-            both, at = np.concatenate([self.known, uniques[new]]), np.concatenate([self.where, number[new]])
-            order = np.argsort(both, kind="stable")
-            self.known, self.where = both[order], at[order]
+            self.known = np.insert(self.known, place[new], uniques[new])
+            self.where = np.insert(self.where, place[new], number[new])
         out = number[codes]
         if not np.array_equal(self.check[out], h2):
             raise ArithmeticError("two pre-tokens share a 64-bit hash")
