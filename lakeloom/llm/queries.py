@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import ann, bpe, chat_format, exact_topk, langid, mixing, quality, token_counts, toxicity
+from lakeloom.llm import ann, bpe, chat_format, exact_topk, langid, mixing, neardup, quality, token_counts, toxicity
 from lakeloom.llm._common import new_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,9 +53,13 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_chat_formatting, op4_bpe, op5_language_id, op6_exact_topk, op7_mixing, op8_nearest, op10_quality)}
-ORACLES = {"op3_chat_formatting": chat_format.ORACLE_SQL, "op6_exact_topk": exact_topk.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_chat_formatting, op4_bpe, op5_language_id, op6_exact_topk, op7_mixing, op8_nearest, op9_near_duplicates, op10_quality)}
+ORACLES = {"op3_chat_formatting": chat_format.ORACLE_SQL, "op6_exact_topk": exact_topk.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op9_near_duplicates": neardup.ORACLE_SQL}
