@@ -28,7 +28,7 @@ from lakeloom.llm._kernels import ngrams, spaced, word_starts
 
 BITS, DIM, SIZES = 18, 8, (3, 4, 5)
 #: Labelled texts of each class that training may use at most, and their bytes in all.
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 48_000_000
+SAMPLE_DOCS, SAMPLE_BYTES = 1500, 16_000_000
 
 
 def _table() -> np.ndarray:
@@ -106,8 +106,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, rate: float =
     for t in texts:
         low = (t or "").lower().encode()
         words = set(normal(np.frombuffer(low, np.uint8)).tobytes().split())
-        doc_word.append(np.array(sorted(seen.setdefault(w, len(seen)) for w in words), np.int64))
-    flat = b" ".join(seen)
+        doc_word.append(np.array([seen.setdefault(w, len(seen)) for w in sorted(words)], np.int32))
+    flat, count = b" ".join(seen), len(seen)
+    del seen
     text, _ = spaced(np.frombuffer(flat, np.uint8), np.array([0, len(flat)]), SAME)
     start = word_starts(text)
     of_byte = np.cumsum(np.bincount(start, minlength=len(text))) - 1
@@ -115,18 +116,20 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, rate: float =
     for n in SIZES:
         bucket, good = ngrams(text, n, BITS)
         at = np.flatnonzero(good)
-        bag_word.append(of_byte[at + 1])
-        bag_bucket.append(bucket[at])
-    word, bucket = np.concatenate(bag_word), np.concatenate(bag_bucket).astype(np.int64)
-    used, local = np.unique(bucket, return_inverse=True)
-    size = np.bincount(word, minlength=len(seen)).astype(np.float64)
-    size[size == 0] = 1
-    share = 1 / size[word]
+        bag_word.append(of_byte[at + 1].astype(np.int32))
+        bag_bucket.append(bucket[at].astype(np.int32))
+    word, bucket = np.concatenate(bag_word), np.concatenate(bag_bucket)
+    del text, of_byte, bag_word, bag_bucket
+    used = np.flatnonzero(np.bincount(bucket, minlength=1 << BITS))
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    local = place[bucket]
+    size = np.maximum(1, np.bincount(word, minlength=count)).astype(np.float64)
     keep = np.array([len(d) > 0 for d in doc_word])
-    members = np.concatenate([d for d in doc_word if len(d)])
+    members = np.concatenate([d for d in doc_word if len(d)]).astype(np.int32)
     lens = np.array([len(d) for d in doc_word if len(d)])
     begin = np.cumsum(lens) - lens
-    doc = np.repeat(np.arange(len(lens)), lens)
+    doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
     target = y[keep]
     weight = np.where(target > 0, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum())) * len(target)
 
@@ -137,16 +140,17 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, rate: float =
     m, v = [np.zeros_like(emb), np.zeros_like(soft), 0.0], [np.zeros_like(emb), np.zeros_like(soft), 0.0]
     for epoch in range(1, epochs + 1):
         diff = soft[:, 1] - soft[:, 0]
-        logit = np.bincount(word, (emb @ diff)[local] * share, len(seen))
-        z = logit[members] * sharpness
-        top = np.maximum.reduceat(z, begin)
-        e = np.exp(z - top[doc])
-        part = e / np.add.reduceat(e, begin)[doc]
-        text_logit = np.add.reduceat(part * logit[members], begin) + bias
+        logit = np.bincount(word, (emb @ diff)[local], count) / size
+        z = logit[members]
+        part = z * sharpness
+        part -= np.maximum.reduceat(part, begin)[doc]
+        np.exp(part, out=part)
+        part /= np.add.reduceat(part, begin)[doc]
+        text_logit = np.add.reduceat(part * z, begin) + bias
         error = (1 / (1 + np.exp(-text_logit)) - target) * weight / len(target)
         # of the softmax-weighted mean; its weights' own derivative is left out
-        per_word = np.bincount(members, error[doc] * part, len(seen))
-        per_bucket = np.bincount(local, per_word[word] * share, len(used))
+        per_word = np.bincount(members, error[doc] * part, count) / size
+        per_bucket = np.bincount(local, per_word[word], len(used))
         pull = emb.T @ per_bucket
         grads = [np.outer(per_bucket, diff) + decay * emb / len(used), np.stack([-pull, pull], 1) + decay * soft, float(error.sum())]
         params = [emb, soft, bias]
