@@ -30,7 +30,7 @@ LETTER, NUMBER, SPACE, OTHER, SPECIAL = 1, 2, 3, 4, 5
 #: Distinct pre-tokens whose ids a task keeps; beyond it the table starts anew.
 TABLE_WORDS = 1_000_000
 #: Text bytes whose distinct pre-tokens are merged together.
-MERGE_BYTES = 1 << 22
+MERGE_BYTES = 1 << 21
 
 
 def byte_symbols() -> dict[str, int]:
@@ -372,8 +372,8 @@ class Encoder:
         return ids, counts
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, last text, bytes, offsets): ranges of whole texts, or parts of a long one.
+def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """(first text, last text, bytes, offsets, whether they end there): ranges of texts, or parts of a long one.
 
     A long text is cut before a blank that follows neither white space nor a byte above 127; a
     pre-token starts there in any case.
@@ -381,7 +381,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple
     for lo, hi in spans(offsets, limit):
         s, e = int(offsets[lo]), int(offsets[hi])
         if hi - lo > 1 or e - s <= 2 * limit:
-            yield lo, hi, data[s:e], offsets[lo : hi + 1] - s
+            yield lo, hi, data[s:e], offsets[lo : hi + 1] - s, True
             continue
         while s < e:
             t = min(e, s + limit)
@@ -391,24 +391,40 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple
                 t = t + int(ok.argmax()) if ok.any() else min(e, t + limit)
                 if t < e and not ok.any():  # no blank at all in so many bytes: the rest in one piece
                     t = e
-            yield lo, hi, data[s:t], np.array([0, t - s])
+            yield lo, hi, data[s:t], np.array([0, t - s]), t == e
             s = t
 
 
-def encode_batch(encoder: Encoder, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """(ids of each text, their number)."""
+def encode_parts(encoder: Encoder, texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
+    """(first text, last text, ids of each, their number), a few MB of texts at a time."""
     data, offsets = utf8(texts)
-    n = len(offsets) - 1
-    ids: list[np.ndarray] = [np.zeros(0, np.int32)] * n
-    counts = np.zeros(n, np.int64)
-    for lo, hi, part, off in _pieces(data, offsets, MERGE_BYTES):
+    held: list[np.ndarray] = []
+    for lo, hi, part, off, done in _pieces(data, offsets, MERGE_BYTES):
         got, each = encoder.encode(part, off)
-        ends = np.cumsum(each)
-        for i in range(lo, hi):
-            own = got[ends[i - lo] - each[i - lo] : ends[i - lo]]
-            ids[i] = own if not counts[i] else np.concatenate([ids[i], own])
-            counts[i] += each[i - lo]
-    return ids, counts
+        if hi - lo == 1:  # maybe a piece of a long text
+            held.append(got)
+            if not done:
+                continue
+            ids = held[0] if len(held) == 1 else np.concatenate(held)
+            held = []
+            yield lo, hi, [ids], np.array([len(ids)], np.int64)
+        else:
+            ends = np.cumsum(each)
+            yield lo, hi, [got[e - n : e] for e, n in zip(ends.tolist(), each.tolist())], each
+
+
+def encode_batch(encoder: Encoder, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """(ids of each text, their number)."""
+    ids, counts = [], [np.zeros(0, np.int64)]
+    for _, _, some, each in encode_parts(encoder, texts):
+        ids += some
+        counts.append(each)
+    return ids, np.concatenate(counts)
+
+
+def count_batch(encoder: Encoder, texts: pa.Array) -> np.ndarray:
+    """The number of ids of each text; ids aren't kept."""
+    return np.concatenate([np.zeros(0, np.int64), *(each for _, _, _, each in encode_parts(encoder, texts))])
 
 
 def _added(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> T.StructType:
@@ -433,9 +449,9 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_
     def run(batches):
         encoder = Encoder(vocabulary(tokenizer))
         for batch in batches:
-            got, counts = encode_batch(encoder, batch.column(batch.schema.get_field_index(text)))
-            cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts), pa.array([x.astype("<u4", copy=False).tobytes() for x in got], pa.binary())], [*names, count, ids])
+            for lo, hi, got, counts in encode_parts(encoder, batch.column(batch.schema.get_field_index(text))):
+                cols = [batch.column(batch.schema.get_field_index(n)).slice(lo, hi - lo) for n in names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts), pa.array([id_bytes(x) for x in got], pa.binary())], [*names, count, ids])
 
     return df.mapInArrow(run, schema)
 
@@ -468,12 +484,27 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "token_ids", text: str = "d
     return df.mapInArrow(run, schema)
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def id_bytes(ids: np.ndarray) -> bytes:
+    """Unsigned 32-bit little-endian."""
+    return ids.astype("<u4", copy=False).tobytes()
+
 
+def digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, n_tokens and the digests of the ids and of the text decoded from them.
+
+    Encoding and decoding run in one worker, chunk by chunk, so ids and decoded texts never leave
+    it. Null text counts as empty; repeated rows and null keys stay.
+    """
+    rows = docs.select(F.col(key).alias(key), F.col(text).alias(text))
+    schema = T.StructType([rows.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+    def run(batches):
+        v = vocabulary(tokenizer)
+        encoder = Encoder(v)
+        for batch in batches:
+            for lo, hi, got, counts in encode_parts(encoder, batch.column(1)):
+                coded = [hashlib.sha256(id_bytes(x)).hexdigest() for x in got]
+                back = [hashlib.sha256(v.decode(x).decode("utf-8", "replace").encode()).hexdigest() for x in got]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts), pa.array(coded), pa.array(back)], schema.names)
 
-def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and of the decoded text, from a round trip."""
-    coded = encode(docs.select("doc_id", "text"), tokenizer, keep_text=False)
-    back = decode(coded.select("doc_id", "n_tokens", "token_ids"), tokenizer)
-    return back.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return rows.mapInArrow(run, schema)

@@ -72,7 +72,7 @@ def counter(path: str):
             return out
 
         return by_library
-    return lambda texts: bpe.encode_batch(encoder, texts)[1]
+    return lambda texts: bpe.count_batch(encoder, texts)
 
 
 def read_cache(spark, path: str, tokenizer: str) -> DataFrame | None:
