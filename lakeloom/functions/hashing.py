@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def value_bytes(v: object) -> bytes:
@@ -62,14 +63,14 @@ def _rows(columns: tuple[pd.Series, ...]):
         yield b"".join(value_bytes(_plain(v[0])) for v in row)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _xxhash64(*columns: pd.Series) -> pd.Series:
     import xxhash
 
     return pd.Series([struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(b)))[0] for b in _rows(columns)], dtype="int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _xxhash128(*columns: pd.Series) -> pd.Series:
     import xxhash
 

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN, INF = F.lit(float("nan")), F.lit(float("inf"))
+NAN, INF = float("nan"), float("inf")
 
 
 def divide(x: Column, y: Column) -> Column:
     """Division in doubles: x / 0 is infinite, 0 / 0 not a number, null stays null."""
     x, y = x.cast("double"), y.cast("double")
-    by_zero = F.when(x == 0, NAN).when(F.isnan(x), NAN).otherwise(F.signum(x) * INF)
+    by_zero = F.when((x == 0) | F.isnan(x), F.lit(NAN)).otherwise(F.signum(x) * INF)
     return F.when(x.isNull() | y.isNull(), None).when(y == 0, by_zero).otherwise(F.try_divide(x, y))
 
 
 def modulo(x: Column, y: Column) -> Column:
     """Remainder with the sign of x; not a number for a zero divisor, so the result is a double then."""
-    return F.when(x.isNull() | y.isNull(), None).when(y == 0, NAN).otherwise(F.try_mod(x, y).cast("double"))
+    return F.when(x.isNull() | y.isNull(), None).when(y == 0, F.lit(NAN)).otherwise(F.try_mod(x, y).cast("double"))
 
 
 def decimal_divide(x: Column, y: Column) -> Column:
@@ -41,7 +41,7 @@ def ceil(x: Column, kind: str = "double") -> Column:
 def log10(x: Column) -> Column:
     """-infinity at 0, not a number below."""
     x = x.cast("double")
-    return F.when(x == 0, -INF).when(x < 0, NAN).otherwise(F.log10(x))
+    return F.when(x == 0, F.lit(-INF)).when(x < 0, F.lit(NAN)).otherwise(F.log10(x))
 
 
 def numeric(x: Column) -> Column:

@@ -47,13 +47,17 @@ def tumbling_window(df: DataFrame, ts: str, size: int, unit: str) -> DataFrame:
     return df.filter(F.col(ts).isNotNull()).select("*", from_micros(start).alias("window_start"), from_micros(start + step).alias("window_end"))
 
 
-def hopping_window(df: DataFrame, ts: str, hop: int, hop_unit: str, size: int, size_unit: str) -> DataFrame:
-    """One row per window that holds the time; hops longer than the window leave gaps."""
+def hopping_window(df: DataFrame, ts: str, hop: int, hop_unit: str, size: int, size_unit: str, outer: bool = False) -> DataFrame:
+    """One row per window that holds the time; hops longer than the window leave gaps.
+
+    ``outer`` keeps rows in no window, with null bounds.
+    """
     step, width = size_micros(hop, hop_unit), size_micros(size, size_unit)
     n = -(-width // step)
     if n > MOST_WINDOWS:
         raise ValueError(f"{n} windows a row")
     last = _aligned(F.col(ts), step)
     starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: last - k * F.lit(step)), lambda s: s > micros(F.col(ts)) - width)
-    out = df.filter(F.col(ts).isNotNull()).select("*", F.explode(starts).alias("_s"))
+    rows = df if outer else df.filter(F.col(ts).isNotNull())
+    out = rows.select("*", (F.explode_outer if outer else F.explode)(starts).alias("_s"))
     return out.select(*df.columns, from_micros(F.col("_s")).alias("window_start"), from_micros(F.col("_s") + width).alias("window_end"))

@@ -33,7 +33,7 @@ def object_source(spark: SparkSession, name: str, schema: str, fetch: Callable[[
         def schema(self) -> str:
             return schema
 
-        def reader(self, _: Any) -> DataSourceReader:
+        def reader(self, schema: Any) -> DataSourceReader:
             return Reader()
 
     spark.dataSource.register(Source)
