@@ -67,8 +67,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def fold(key: Column) -> Column:
-    """crc32 of the key as text, modulo 5; rows with 0 are held out."""
-    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5
+    """crc32 of the key as text, modulo 5; rows with 0 are held out. A null key has 1."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5, F.lit(1))
 
 
 def text_of(name: str) -> Column:

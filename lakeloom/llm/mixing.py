@@ -47,7 +47,7 @@ def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     out = out.withColumn("_tie", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))))
     u = (F.conv(F.substring("_tie", 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     draw = -F.log(u) / F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-6))
-    return out.withColumn("_draw", draw).withColumnRenamed(source, "_source") if source != "_source" else out.withColumn("_draw", draw)
+    return out.withColumn("_draw", draw).withColumnRenamed(source, "_source")
 
 
 def cycled_weights(sources: DataFrame) -> DataFrame:
@@ -139,11 +139,11 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source",
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", quality: Column | None = None) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken. Texts aren't shuffled."""
-    names = docs.columns
-    rows = sized(docs.withColumn("_source", F.col(source)), key, "_source", text, quality)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text"))
+    rows = sized(packed, "_key", "_source", "_text", quality)
     stats = materialize(rows.select("_source", "_size", "_draw", "_tie"), "sized")
     out = apply(rows, plan(stats)).filter(F.col("_copies") > 0)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*names)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 
 ORACLE_SQL = r"""
