@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python kernel works on at once; arrays of a kernel take a few dozen times that.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -132,3 +132,36 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
     a = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
     b = right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     return a.join(b, [key, "_salt"], how).drop("_salt")
+
+
+#: Rows per Arrow batch of texts; Spark's usual 10000 may be some 100 MB on each side of the pipe.
+BATCH_ROWS = 2000
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with small batches and workers that give memory back when a task ends.
+
+    The session's batch size is lowered if it is larger: it bounds what a task holds of its
+    partition, in Spark and in Python, whatever the partition's size.
+    """
+    spark = df.sparkSession
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > BATCH_ROWS or int(spark.conf.get(setting)) <= 0:
+        spark.conf.set(setting, BATCH_ROWS)
+
+    def lean(batches):
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(lean, schema)
+
+
+def trim() -> None:
+    """Return freed memory to the system; workers are used again by other tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass

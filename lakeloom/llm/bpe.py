@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm._common import CHUNK_BYTES, spans, utf8
+from lakeloom.llm._common import CHUNK_BYTES, map_texts, spans, utf8
 
 LETTER, NUMBER, SPACE, OTHER, SPECIAL = 1, 2, 3, 4, 5
 #: Distinct pre-tokens whose ids a task keeps; beyond it the table starts anew.
@@ -134,19 +134,22 @@ def _hash_tables() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**64, (2, 256), np.uint64), np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
-@lru_cache(4)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """At least n powers of an odd base and of its inverse modulo 2**64."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _POWERS[base]
 
 
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit hash of each slice: a polynomial over random byte values, mixed."""
     tables, bases = _hash_tables()
-    room = 1 << max(12, int(len(data)).bit_length())
-    up, down = _powers(int(bases[which]), room)
+    up, down = _powers(int(bases[which]), 1 << max(12, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(tables[which][data] * up[: len(data)], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
@@ -453,7 +456,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_
                 cols = [batch.column(batch.schema.get_field_index(n)).slice(lo, hi - lo) for n in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(counts), pa.array([id_bytes(x) for x in got], pa.binary())], [*names, count, ids])
 
-    return df.mapInArrow(run, schema)
+    return map_texts(df, run, schema)
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "token_ids", text: str = "decoded", keep_ids: bool = True) -> DataFrame:
@@ -481,7 +484,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "token_ids", text: str = "d
             cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string())], [*names, text])
 
-    return df.mapInArrow(run, schema)
+    return map_texts(df, run, schema)
 
 
 def id_bytes(ids: np.ndarray) -> bytes:
@@ -507,4 +510,4 @@ def digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "t
                 back = [hashlib.sha256(v.decode(x).decode("utf-8", "replace").encode()).hexdigest() for x in got]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts), pa.array(coded), pa.array(back)], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)

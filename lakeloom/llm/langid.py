@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import fold, spans, utf8
+from lakeloom.llm._common import fold, map_texts, spans, utf8
 from lakeloom.llm._kernels import ngrams, spaced
 
 CELL_BITS, HASHES, SIZES = 20, 2, (4, 5)
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
             best, value = m.predict(batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels[best], pa.string()), pa.array(value)], [*names, lang, score])
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def predict_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

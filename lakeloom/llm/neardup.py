@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm import _shingles
-from lakeloom.llm._common import join_salted, materialize
+from lakeloom.llm._common import join_salted, map_texts, materialize
 from lakeloom.llm._components import components
 
 ROWS, BANDS = 5, 40
@@ -52,7 +52,7 @@ def signatures(docs: DataFrame, words: int, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), fp, lists], ["id", "n_shingles", "fp", "keys"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id bigint, n_shingles bigint, fp binary, keys array<bigint>")
+    return map_texts(rows, run, "id bigint, n_shingles bigint, fp binary, keys array<bigint>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -68,7 +68,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int, key: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, hi - lo), lists], ["id", "shingles"])
                 at += hi - lo
 
-    return rows.mapInArrow(run, "id bigint, shingles array<bigint>")
+    return map_texts(rows, run, "id bigint, shingles array<bigint>")
 
 
 def keep_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import spans, utf8
+from lakeloom.llm._common import map_texts, spans, utf8
 from lakeloom.llm._kernels import ngrams, spaced, word_starts
 from lakeloom.llm.bpe import slice_hashes
 
@@ -206,7 +206,7 @@ def label_patterns(docs: DataFrame, text: str = "text", column: str = "vote_patt
             codes = pattern_code(votes(batch.column(batch.schema.get_field_index(text))))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(codes)], [*names, column])
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> tuple[LabelModel, Scorer]:
@@ -248,7 +248,7 @@ def score(docs: DataFrame, fitted: tuple[LabelModel, Scorer], text: str = "text"
             p = 1 / (1 + np.exp(-np.clip(scorer.logits(texts), -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label.posterior(pattern_code(votes(texts)))), pa.array(p)], [*names, "posterior", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import join_salted, materialize, spans, utf8
+from lakeloom.llm._common import join_salted, map_texts, materialize, spans, utf8
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
 
@@ -104,7 +104,7 @@ def fill_cache(docs: DataFrame, tokenizer: str, cache: str, text: str = "text")
             n = pa.array(count(batch.column(1)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), n], ["content_digest", "tokenizer_digest", "n_tokens"])
 
-    misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    map_texts(misses, run, CACHE_SCHEMA).write.mode("append").parquet(cache)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, key: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:

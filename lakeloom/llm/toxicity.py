@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import fold, spans, utf8
+from lakeloom.llm._common import fold, map_texts, spans, utf8
 from lakeloom.llm._kernels import ngrams, spaced, word_starts
 
 BITS, DIM, SIZES = 18, 8, (3, 4, 5)
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*names, column])
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
