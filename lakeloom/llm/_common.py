@@ -71,9 +71,15 @@ def fold(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5, F.lit(1))
 
 
-def text_of(name: str) -> Column:
-    """The text column; null counts as empty."""
-    return F.coalesce(F.col(name), F.lit(""))
+def sampled(rows: DataFrame, text: str, most: int) -> DataFrame:
+    """At most ``most`` distinct rows, by the hash of the text: the same whatever the partitions.
+
+    Copies are dropped before the limit (map-side first), so a row that fills a third of the
+    table takes one place.
+    """
+    others = [c for c in rows.columns if c != text]
+    once = rows.withColumn("_h", F.md5(F.col(text).cast("binary"))).groupBy("_h", *others).agg(F.first(text).alias(text))
+    return once.orderBy("_h", *others).limit(most).select(*rows.columns)
 
 
 def utf8(column: pa.Array) -> tuple:

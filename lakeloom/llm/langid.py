@@ -19,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import fold, map_texts, spans, utf8
+from lakeloom.llm._common import fold, map_texts, sampled, spans, utf8
 from lakeloom.llm._kernels import ngrams, spaced
 
 CELL_BITS, HASHES, SIZES = 20, 2, (4, 5)
-#: Documents sampled per language (on average), and the characters in all that training may hold.
-SAMPLE_DOCS, SAMPLE_CHARS = 600, 100_000_000
+#: Documents sampled per language (on average) and in all, and the characters that training may hold.
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS = 600, 8000, 60_000_000
 MIN_SHARE = 0.01
 UNKNOWN = "und"
 
@@ -120,13 +120,13 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(lang).alias("_l")).filter(F.col("_l").isNotNull() & F.col("_t").isNotNull() & (fold(F.col("_k")) != 0))
     sizes = rows.groupBy("_l").count().collect()  # one row per language
+    wanted = min(per_language, max(1, SAMPLE_TOTAL // max(1, len(sizes))))
     share = F.lit(0.0)
     for r in sizes:
-        share = F.when(F.col("_l") == r[0], min(1.0, per_language / r[1])).otherwise(share)
+        share = F.when(F.col("_l") == r[0], min(1.0, wanted / r[1])).otherwise(share)
     draw = F.pmod(F.xxhash64("_k", F.length("_t")), F.lit(1 << 30)) / float(1 << 30)
     texts, langs, held = [], [], 0
-    some = rows.filter(draw < share).select("_t", "_l").limit(4 * per_language * max(1, len(sizes)))
-    for r in some.toLocalIterator():
+    for r in sampled(rows.filter(draw < share).select("_t", "_l"), "_t", 2 * wanted * max(1, len(sizes))).toLocalIterator():
         held += len(r[0])
         if held > SAMPLE_CHARS:
             break

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import map_texts, spans, utf8
+from lakeloom.llm._common import map_texts, sampled, spans, utf8
 from lakeloom.llm._kernels import ngrams, spaced, word_starts
 from lakeloom.llm.bpe import slice_hashes
 
 BITS = 15
 #: Documents that train the scorer (on average), and the characters in all that training may hold.
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 60_000_000
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 40_000_000
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("listing", "shouting", "decoration", "repetition", "exclamation", "sentences", "prose")
 
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     share = min(1.0, sample / int(counts.sum()))
     draw = F.pmod(F.xxhash64(F.col(key), F.length(F.col(text))), F.lit(1 << 30)) / float(1 << 30)
     texts, held = [], 0
-    for r in docs.filter(draw < share).select(F.coalesce(F.col(text), F.lit(""))).limit(2 * sample).toLocalIterator():
+    for r in sampled(docs.filter(draw < share).select(F.coalesce(F.col(text), F.lit("")).alias("_t")), "_t", 2 * sample).toLocalIterator():
         held += len(r[0])
         if held > SAMPLE_CHARS:
             break

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import fold, map_texts, spans, utf8
+from lakeloom.llm._common import fold, map_texts, sampled, spans, utf8
 from lakeloom.llm._kernels import ngrams, spaced, word_starts
 
 BITS, DIM, SIZES = 18, 8, (3, 4, 5)
@@ -177,9 +177,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
         some = ranked.filter(F.col("_y") == y).dropDuplicates(["_k", "_y"]).orderBy(*order).limit(per_class)
         chosen = some if chosen is None else chosen.unionAll(some)
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).join(F.broadcast(chosen), "_k")
-    rows = rows.orderBy(F.xxhash64("_k"), "_k", "_y", "_t").limit(2 * per_class)  # keys may repeat in docs
     texts, ys, size = [], [], 0
-    for r in rows.select("_t", "_y").toLocalIterator():
+    for r in sampled(rows.select("_t", "_y"), "_t", 2 * per_class).toLocalIterator():
         size += len(r[0])
         if size > SAMPLE_BYTES:
             break
