@@ -5,7 +5,9 @@ id, so thousands of copies cost one row. Of each representative's set, every per
 the minimum and the maximum: half the hash evaluations for as many unbiased values. The values are
 banded; BANDS bands of ROWS values miss a pair of similarity 0.8 with probability 1.2e-7.
 
-Candidates are confirmed in two steps. First every member of a bucket against the bucket's smallest
+Candidate pairs are first compared by sketches, the lowest bytes of all values: only pairs whose
+estimate is within SLACK (more than five standard deviations at 0.8) of the limit go on to the full
+sets, so few sets are shuffled. They are confirmed in two steps. First every member of a bucket against the bucket's smallest
 id: that is linear and settles groups of near copies, however large. Then all pairs that share a
 bucket but not yet a component: none is left out, so no link between different components is lost,
 and pairs within a component needn't be compared. Components come from `_components`.
@@ -19,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm import _shingles
-from lakeloom.llm._common import join_salted, map_texts, materialize
+from lakeloom.llm._common import join_salted, map_texts, materialize, utf8
 from lakeloom.llm._components import components
 
 ROWS, BANDS = 5, 40
+#: How far a sketch's estimate may be below the limit. The estimate's standard deviation at 0.8 is 0.028.
+SLACK = 0.15
 #: Up to so many ids (8 bytes each) a list of ids is broadcast; beyond it, it is shuffled.
 BROADCAST_IDS = 500_000
 
@@ -56,7 +60,7 @@ def signatures(docs: DataFrame, words: int, key: str = "doc_id", text: str = "te
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id and set of the rows whose id is in ``ids``; texts are shuffled only if the ids are many."""
+    """id, set and sketch of the rows whose id is in ``ids``; texts are shuffled only if the ids are many."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = keep_ids(rows, ids, "id", "left_semi")
 
@@ -65,10 +69,15 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int, key: str = "doc_id", te
             at = 0
             for lo, hi, h, off in _shingles.batches_of_sets(batch.column(1), words):
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, hi - lo), lists], ["id", "shingles"])
+                size = np.diff(off)
+                low = np.zeros((len(size), ROWS * BANDS), np.uint8)
+                full = np.flatnonzero(size)
+                if len(full):
+                    low[full] = _shingles.min_max(h, np.append(off[full], off[-1]), ROWS * BANDS // 2).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, hi - lo), lists, pa.array([x.tobytes() for x in low], pa.binary())], ["id", "shingles", "sketch"])
                 at += hi - lo
 
-    return map_texts(rows, run, "id bigint, shingles array<bigint>")
+    return map_texts(rows, run, "id bigint, shingles array<bigint>, sketch binary")
 
 
 def keep_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
@@ -77,8 +86,26 @@ def keep_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule out the similarity."""
+    one = sets.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
+    two = sets.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
+    least = percent / 100 - SLACK
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(utf8(batch.column(i))[0], np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            same = ((x == y).mean(axis=1) - 1 / 256) * 256 / 255 if batch.num_rows else np.zeros(0)
+            keep = pa.array(same >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    return map_texts(both, run, "a bigint, b bigint")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    pairs = materialize(likely(pairs, sets, percent), "likely")
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(one, "a").join(two, "b")
@@ -118,7 +145,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     x, y = named.alias("x"), named.alias("y")
     open_pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & similar(F.col("x.n"), F.col("y.n")))
     open_pairs = open_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = confirm(open_pairs, sets, percent)
+    more = materialize(confirm(open_pairs, sets, percent), "confirmed")
     parts = materialize(components(links.unionAll(more)), "parts")
 
     roots = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", F.col("rep")).alias("component_id"))
