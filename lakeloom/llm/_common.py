@@ -141,7 +141,7 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
 
 
 #: Rows per Arrow batch of texts; Spark's usual 10000 may be some 100 MB on each side of the pipe.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def map_texts(df: DataFrame, run, schema) -> DataFrame:

@@ -95,6 +95,14 @@ class Model:
         return mean, np.searchsorted(begin, start, "right") - 1
 
 
+def _summed(index: np.ndarray, weights: np.ndarray, by: np.ndarray, size: int, step: int = 1 << 20) -> np.ndarray:
+    """Sums of weights[by] per index, a million at a time."""
+    out = np.zeros(size)
+    for at in range(0, len(index), step):
+        out += np.bincount(index[at : at + step], weights[by[at : at + step]], size)
+    return out
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = 60, rate: float = 0.08, decay: float = 0.1, sharpness: float = 1.0, seed: int = 7) -> Model:
     """Fit embeddings and softmax to labelled texts; without both classes, the prior alone."""
     y = np.asarray(labels, np.float64)
@@ -140,7 +148,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, rate: float =
     m, v = [np.zeros_like(emb), np.zeros_like(soft), 0.0], [np.zeros_like(emb), np.zeros_like(soft), 0.0]
     for epoch in range(1, epochs + 1):
         diff = soft[:, 1] - soft[:, 0]
-        logit = np.bincount(word, (emb @ diff)[local], count) / size
+        logit = _summed(word, emb @ diff, local, count) / size
         z = logit[members]
         part = z * sharpness
         part -= np.maximum.reduceat(part, begin)[doc]
@@ -150,7 +158,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, rate: float =
         error = (1 / (1 + np.exp(-text_logit)) - target) * weight / len(target)
         # of the softmax-weighted mean; its weights' own derivative is left out
         per_word = np.bincount(members, error[doc] * part, count) / size
-        per_bucket = np.bincount(local, per_word[word], len(used))
+        per_bucket = _summed(local, per_word, word, len(used))
         pull = emb.T @ per_bucket
         grads = [np.outer(per_bucket, diff) + decay * emb / len(used), np.stack([-pull, pull], 1) + decay * soft, float(error.sum())]
         params = [emb, soft, bias]
