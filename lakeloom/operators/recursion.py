@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,6 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_paths: list = []
+
+
+def _release() -> None:
+    """Delete the tables that iterations left in the shared folder."""
+    for spark, path in _paths:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session may have ended already
+            return
+
+
 def shared_folder(spark) -> str:
     """spark.checkpoint.dir; only a local session may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,6 +39,9 @@ def shared_folder(spark) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage with a table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    if not _paths:
+        atexit.register(_release)
+    _paths.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
