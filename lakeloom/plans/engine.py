@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeloom.plans import dialect
 from lakeloom.session import configure
 from lakeloom.sources.registry import Registry
+from lakeloom.streaming.views import View
 
 
 class Engine:
@@ -59,6 +60,24 @@ class Engine:
         """The frame of the last query."""
         return self.sql(text)[-1]
 
+    def maintain(self, text: str, sources: dict[str, list[str] | None], path: str, affected: dict[str, list[str]] | None = None) -> View:
+        """A view that keeps the last query of ``text`` up to date as its sources change.
+
+        ``sources`` names the tables that change with their primary keys (None: they carry
+        weights); ``path`` holds the state. Feed it with `View.process` or `View.start`.
+        """
+        *before, last = dialect.statements(text)
+
+        def build(tables: dict[str, DataFrame]) -> DataFrame:
+            for name, df in tables.items():
+                df.createOrReplaceTempView(name)
+            for s in before:
+                if s.kind == "create_view":
+                    self.frame(s.sql).createOrReplaceTempView(s.name)
+            return self.frame(last.sql)
+
+        return View(self.spark, path, sources, build, affected)
+
     def frame(self, sql: str) -> DataFrame:
         """A rewritten query; select aliases may appear in WHERE."""
         for name in re.findall(r"(?i)\b(?:from|join)\s+([A-Za-z_][\w.]*)", sql):

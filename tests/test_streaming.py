@@ -76,3 +76,22 @@ def test_from_a_stream(spark, tmp_path):
     view.start("t", read(), str(tmp_path / "cp"), sink=lambda out, b: got.append(rows(out)), order="t").awaitTermination()
     assert rows(view.result()) == [(27,)]
     assert got[-1] == [(25, -1), (27, 1)]
+
+
+def test_sql_view(spark, tmp_path):
+    """A maintained query with a session window and a join; a late row merges two sessions."""
+    import datetime
+
+    from lakeloom.plans.engine import Engine
+
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    visits = lambda *r: spark.createDataFrame(list(r), "id int, who int, ts timestamp_ntz")
+    sql = """CREATE VIEW named AS SELECT v.ts, p.name FROM visits v JOIN people p ON v.who = p.who;
+    INSERT INTO out SELECT name, window_start, count(*) AS n FROM named GROUP BY name, SESSION(ts, 10, 'MINUTE')"""
+    view = Engine(spark).maintain(sql, {"visits": ["id"], "people": ["who"]}, f"file://{tmp_path}/v")
+    people = spark.createDataFrame([(1, "ann"), (2, "bob")], "who int, name string")
+    view.process(0, {"visits": visits((1, 1, at(0)), (2, 1, at(20)), (3, 2, at(5))), "people": people})
+    assert rows(view.result()) == [("ann", at(0), 1), ("ann", at(20), 1), ("bob", at(5), 1)]
+    out = view.process(1, {"visits": visits((4, 1, at(10)))})
+    assert rows(out) == sorted([("ann", at(0), 1, -1), ("ann", at(20), 1, -1), ("ann", at(0), 3, 1)], key=repr)
+    assert rows(view.result()) == [("ann", at(0), 3), ("bob", at(5), 1)]
