@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,21 +25,17 @@ def _aligned(ts: Column, step: int) -> Column:
     return micros(ts) - F.pmod(micros(ts) + shift, F.lit(step))
 
 
-def unnest(df: DataFrame, items: Column, alias: str = "value", outer: bool = False, on: Column | None = None) -> DataFrame:
+def unnest(df: DataFrame, items: Column, alias: str = "value", outer: bool = False, on: Callable[[Column], Column] | None = None) -> DataFrame:
     """Join each row to its elements; a map's are structs of key and value.
 
-    ``outer`` keeps rows without (matching) elements; ``on`` filters elements.
+    ``outer`` keeps rows without (matching) elements; ``on`` is a condition on an element, checked
+    within the array, so no join is needed.
     """
     kind = df.select(items.alias("x")).schema["x"].dataType.typeName()
     listed = F.map_entries(items) if kind == "map" else items
-    if on is None:
-        return df.select("*", (F.explode_outer if outer else F.explode)(listed).alias(alias))
-    if not outer:
-        return df.select("*", F.explode(listed).alias(alias)).filter(on)
-    row = df.withColumn("_id", F.monotonically_increasing_id())
-    hit = row.select("*", F.explode(listed).alias(alias)).filter(on)
-    none = row.join(hit.select("_id"), "_id", "left_anti").withColumn(alias, F.lit(None).cast(hit.schema[alias].dataType))
-    return hit.unionByName(none).drop("_id")
+    if on is not None:
+        listed = F.filter(listed, on)
+    return df.select("*", (F.explode_outer if outer else F.explode)(listed).alias(alias))
 
 
 def tumbling_window(df: DataFrame, ts: str, size: int, unit: str) -> DataFrame:

@@ -357,13 +357,13 @@ def hopping_gap(t):
 
 @query("SELECT vec_id, label, x::DOUBLE AS x FROM (SELECT vec_id, label, unnest(embedding) AS x FROM embeddings) WHERE x > 0.25")
 def unnest_inner(t):
-    return tablefuncs.unnest(t("embeddings"), c("embedding"), "x", on=c("x") > 0.25).select("vec_id", "label", c("x").cast("double").alias("x"))
+    return tablefuncs.unnest(t("embeddings"), c("embedding"), "x", on=lambda x: x > 0.25).select("vec_id", "label", c("x").cast("double").alias("x"))
 
 
 @query("SELECT n_name, x FROM nation LEFT JOIN (SELECT n_nationkey AS k, unnest(CASE WHEN n_nationkey % 2 = 0 THEN [n_regionkey, n_nationkey] ELSE [] END) AS x FROM nation) ON k = n_nationkey AND x > 3")
 def unnest_left(t):
     items = F.when(c("n_nationkey") % 2 == 0, F.array("n_regionkey", "n_nationkey")).otherwise(F.array().cast("array<int>"))
-    return tablefuncs.unnest(t("nation"), items, "x", outer=True, on=c("x") > 3).select("n_name", "x")
+    return tablefuncs.unnest(t("nation"), items, "x", outer=True, on=lambda x: x > 3).select("n_name", "x")
 
 
 @query("SELECT n_name, 'region' AS key, n_regionkey::VARCHAR AS value FROM nation UNION ALL SELECT n_name, 'nation', n_nationkey::VARCHAR FROM nation")

@@ -1,9 +1,10 @@
 """Incrementally maintained views on Structured Streaming.
 
 A view is a batch query over sources. Each micro-batch brings changes of one or more sources; the
-processor applies them to the stored snapshots, recomputes the part of the result that they can
-touch, and emits the difference. State is Parquet, one version per batch in a shared folder; a
-batch that is replayed after a failure finds its version committed and does nothing.
+processor derives what the result changes by, and emits that. State is a log of changes per source
+and one of the result: a batch writes only its own changes, and every COMPACT batches a log is
+merged into a base table. A batch that is replayed after a failure finds itself committed and does
+nothing.
 """
 
 from __future__ import annotations
@@ -13,55 +14,75 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lakeloom.operators.normalize import differences, latest
+from lakeloom.operators.normalize import consolidate, differences, latest
 from lakeloom.streaming.changes import WEIGHT, apply, upserts_to_changes
 
+#: Batches between merges of a log into its base.
+COMPACT = 16
+
 
 class State:
-    """Named tables, versioned by batch; the last two versions are kept."""
+    """Logs of weighted rows in a shared folder, and the batches that are committed."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._p("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _p(self, rest: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{rest}")
 
+    def _numbers(self, folder: str) -> list[int]:
+        at = self._p(folder)
+        if not self._fs.exists(at):
+            return []
+        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(at) if f.getPath().getName().isdigit())
+
     def committed(self) -> int:
         """The last committed batch, -1 for none."""
-        folder = self._p("commits")
-        if not self._fs.exists(folder):
-            return -1
-        return max((int(f.getPath().getName()) for f in self._fs.listStatus(folder)), default=-1)
-
-    def read(self, name: str) -> DataFrame | None:
-        at = self.committed()
-        while at >= 0:
-            if self._fs.exists(self._p(f"{name}/{at}/_SUCCESS")):
-                schema = self._schema(name)
-                return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{at}")
-            at -= 1
-        return None
-
-    def _schema(self, name: str):
-        from pyspark.sql.types import StructType
-
-        line = self.spark.read.text(f"{self.path}/{name}/schema").first()[0]
-        return StructType.fromJson(json.loads(line))
-
-    def write(self, name: str, batch: int, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/{batch}")
+        return max(self._numbers("commits"), default=-1)
+
+    def commit(self, batch: int) -> None:
+        self._fs.create(self._p(f"commits/{batch}")).close()
+
+    def append(self, name: str, batch: int, df: DataFrame) -> DataFrame:
+        """Write one batch's rows; they count once the batch is committed."""
+        at = f"{self.path}/{name}/log/{batch}"
+        df.write.mode("overwrite").parquet(at)
         if not self._fs.exists(self._p(f"{name}/schema")):
             self.spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.text(f"{self.path}/{name}/schema")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}/{batch}")
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def rows(self, name: str) -> DataFrame | None:
+        """The base and all committed batches since; None before the first."""
+        last = self.committed()
+        base = max((b for b in self._numbers(f"{name}/base") if b <= last), default=-1)
+        logs = [b for b in self._numbers(f"{name}/log") if base < b <= last]
+        paths = [f"{self.path}/{name}/log/{b}" for b in logs] + ([f"{self.path}/{name}/base/{base}"] if base >= 0 else [])
+        if not paths:
+            return None
+        schema = StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/{name}/schema").first()[0]))
+        return self.spark.read.schema(schema).parquet(*paths)
 
-    def commit(self, batch: int, names: list[str]) -> None:
-        self._fs.create(self._p(f"commits/{batch}")).close()
-        for n in names:
-            for old in range(max(0, batch - 20), batch - 1):
-                self._fs.delete(self._p(f"{n}/{old}"), True)
+    def compact(self, name: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+        """Merge a log that has grown long; the base before it and its batches are then deleted.
+
+        Runs after a commit. A failure in between leaves the old base and logs in use.
+        """
+        last = self.committed()
+        bases, logs = self._numbers(f"{name}/base"), self._numbers(f"{name}/log")
+        if len([b for b in logs if b > max(bases, default=-1)]) < COMPACT:
+            return
+        target = f"{self.path}/{name}/base"
+        merge(self.rows(name)).write.mode("overwrite").parquet(f"{target}/_merging")
+        self._fs.rename(self._p(f"{name}/base/_merging"), self._p(f"{name}/base/{last}"))
+        for old in bases:
+            self._fs.delete(self._p(f"{name}/base/{old}"), True)
+        for old in logs:
+            if old < last:  # the last one may still be read as the batch's output
+                self._fs.delete(self._p(f"{name}/log/{old}"), True)
 
 
 class View:
@@ -82,34 +103,42 @@ class View:
         """Apply one batch; its output changes (with _weight), None if it was committed before."""
         if batch <= self.state.committed():
             return None
-        old = {n: self.state.read(n) for n in self.sources}
-        deltas, new = {}, {}
+        logs = {n: self.state.rows(n) for n in self.sources}
+        deltas: dict[str, DataFrame] = {}
         for name, df in changes.items():
             key = self.sources[name]
             if key is not None and WEIGHT not in df.columns:
-                df = upserts_to_changes(old[name], df, key, deleted if deleted in df.columns else None)
-            deltas[name] = self.state.write(f"{name}_delta", batch, df)
-            new[name] = self.state.write(name, batch, apply(old[name], deltas[name]))
-        tables = {n: new.get(n, old[n]) for n in self.sources}
-        missing = [n for n, t in tables.items() if t is None]
-        if missing:  # no result before every source has brought something
-            self.state.commit(batch, list(self.sources))
+                df = upserts_to_changes(self._part(logs[name], df, key), df, key, deleted if deleted in df.columns else None)
+            deltas[name] = self.state.append(name, batch, df)
+        now = {n: deltas.get(n) if log is None else log.unionByName(deltas[n]) if n in deltas else log for n, log in logs.items()}
+        if any(t is None for t in now.values()):  # no result before every source has brought something
+            self._finish(batch)
             return None
-        before = self.state.read("result")
+        before = self.state.rows("result")
         keys = self._changed_keys(deltas)
         if before is None or keys is None:
-            result = self.state.write("result", batch, self.build(tables))
-            out = result.withColumn(WEIGHT, F.lit(1)) if before is None else differences(before, result)
+            result = self.build({n: apply(None, t) for n, t in now.items()})
+            out = result.withColumn(WEIGHT, F.lit(1)) if before is None else differences(apply(None, before), result)
         else:
             names = keys.columns
-            part = {n: (t.join(keys, self.affected[n], "left_semi") if n in self.affected and self.affected[n] == names else t) for n, t in tables.items()}
+            part = {n: apply(None, t.join(keys, names, "left_semi") if self.affected.get(n) == names else t) for n, t in now.items()}
             fresh = self.build(part).join(keys, names, "left_semi")
-            out = differences(before.join(keys, names, "left_semi"), fresh)
-            self.state.write("result", batch, before.join(keys, names, "left_anti").unionByName(fresh))
-        out = self.state.write("output", batch, out)
-        self.state.commit(batch, [*self.sources, "result", "output"])
+            out = differences(apply(None, before.join(keys, names, "left_semi")), fresh)
+        out = self.state.append("result", batch, out)
+        self._finish(batch)
         return out
 
+    @staticmethod
+    def _part(log: DataFrame | None, updates: DataFrame, key: list[str]) -> DataFrame | None:
+        """The current rows of the updated keys."""
+        return None if log is None else apply(None, log.join(updates.select(*key).distinct(), key, "left_semi"))
+
+    def _finish(self, batch: int) -> None:
+        self.state.commit(batch)
+        for n in [*self.sources, "result"]:
+            if batch >= COMPACT:
+                self.state.compact(n, consolidate)
+
     def _changed_keys(self, deltas: dict[str, DataFrame]) -> DataFrame | None:
         keys = None
         for name, d in deltas.items():
@@ -122,7 +151,8 @@ class View:
         return keys
 
     def result(self) -> DataFrame | None:
-        return self.state.read("result")
+        log = self.state.rows("result")
+        return None if log is None else apply(None, log)
 
     def start(self, name: str, stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, order: str | None = None, trigger: dict | None = None):
         """Feed one source from a stream; ``sink`` gets each batch's output changes.
@@ -142,7 +172,7 @@ class View:
 
 
 class KeyedSink:
-    """A Parquet table kept up to date by primary key: the sink of a change stream."""
+    """A table by primary key, fed by a change stream: a log of upserts and deletes, merged at times."""
 
     def __init__(self, spark: SparkSession, path: str, key: list[str]) -> None:
         self.state, self.key = State(spark, path), key
@@ -150,12 +180,14 @@ class KeyedSink:
     def __call__(self, changes: DataFrame, batch: int) -> None:
         if batch <= self.state.committed():
             return
-        now = self.state.read("rows")
-        upserts = changes.filter(F.col(WEIGHT) > 0).drop(WEIGHT)
-        if now is not None:
-            upserts = now.join(changes.select(*self.key).distinct(), self.key, "left_anti").unionByName(upserts)
-        self.state.write("rows", batch, upserts)
-        self.state.commit(batch, ["rows"])
+        self.state.append("rows", batch, changes.withColumn("_batch", F.lit(batch).cast("bigint")))
+        self.state.commit(batch)
+        self.state.compact("rows", self._last)
+
+    def _last(self, log: DataFrame) -> DataFrame:
+        """The last row of each key; a batch's insert comes after its delete."""
+        return latest(log, self.key, F.struct("_batch", WEIGHT), F.col(WEIGHT) < 0)
 
     def rows(self) -> DataFrame | None:
-        return self.state.read("rows")
+        log = self.state.rows("rows")
+        return None if log is None else self._last(log).drop("_batch", WEIGHT)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lakeloom.streaming import changes
+from lakeloom.streaming import changes, views
 from lakeloom.streaming.views import KeyedSink, View
 
 
@@ -30,13 +30,15 @@ def test_join_delta_equals_difference(spark):
     assert rows(changes.apply(before, delta.select("k", "a", "b", "_weight"))) == rows(after)
 
 
-def test_view_with_churn(spark, tmp_path):
+def test_view_with_churn(spark, tmp_path, monkeypatch):
+    """Random upserts and deletes, with logs merged on the way."""
+    monkeypatch.setattr(views, "COMPACT", 2)
     rng = random.Random(1)
     build = lambda t: t["orders"].join(t["users"], "user").groupBy("user").agg(F.sum("money").alias("total"), F.max("name").alias("name"))
     view = View(spark, f"file://{tmp_path}/state", {"orders": ["key"], "users": ["user"]}, build, affected={"orders": ["user"], "users": ["user"]})
     sink = KeyedSink(spark, f"file://{tmp_path}/sink", ["user"])
     orders, users = {}, {}
-    for batch in range(4):
+    for batch in range(5):
         changed_orders = {rng.randrange(8): (rng.randrange(3), rng.randrange(100), rng.random() < 0.3) for _ in range(4)}
         changed_users = {rng.randrange(3): f"n{rng.randrange(9)}" for _ in range(2)}
         o = spark.createDataFrame([(k, u, m, gone) for k, (u, m, gone) in changed_orders.items()], "key int, user int, money int, gone boolean")
@@ -53,7 +55,7 @@ def test_view_with_churn(spark, tmp_path):
         if out is not None:
             sink(out, batch)
             assert rows(sink.rows().select("user", "total", "name")) == rows(view.result().select("user", "total", "name"))
-    assert view.process(3, {"orders": o, "users": u}) is None
+    assert view.process(4, {"orders": o, "users": u}) is None
 
 
 def test_unchanged_rows_give_no_output(spark, tmp_path):
