@@ -43,8 +43,8 @@ _sql(
 )
 _sql(
     "sql_aggregates",
-    "SELECT c_nationkey, list_agg(c_mktsegment) AS segments, string_agg(c_mktsegment, '|') AS joined, sum0(c_custkey) FILTER (WHERE c_acctbal < 0) AS poor, min_by(c_custkey, c_acctbal) AS poorest FROM customer WHERE c_custkey < 300 GROUP BY c_nationkey",
-    "SELECT c_nationkey, list_sort(list(c_mktsegment)) AS segments, string_agg(c_mktsegment, '|' ORDER BY c_mktsegment) AS joined, coalesce(sum(c_custkey) FILTER (WHERE c_acctbal < 0), 0)::BIGINT AS poor, arg_min(c_custkey, (c_acctbal, c_custkey)) AS poorest FROM customer WHERE c_custkey < 300 GROUP BY c_nationkey",
+    "SELECT c_nationkey, list_agg(c_mktsegment) AS segments, string_agg(c_mktsegment, '|') AS joined, sum0(c_custkey) FILTER (WHERE c_acctbal < 0) AS poor, min_by(c_custkey, c_acctbal) AS poorest FROM customer GROUP BY c_nationkey",
+    "SELECT c_nationkey, list_sort(list(c_mktsegment)) AS segments, string_agg(c_mktsegment, '|' ORDER BY c_mktsegment) AS joined, coalesce(sum(c_custkey) FILTER (WHERE c_acctbal < 0), 0)::BIGINT AS poor, arg_min(c_custkey, (c_acctbal, c_custkey)) AS poorest FROM customer GROUP BY c_nationkey",
 )
 _sql(
     "sql_tumbling",
