@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each group, all columns.
 
-    If keys repeat among the kept rows, one row of each key stays.
+    If keys repeat among the kept rows, one row of each key stays. Rows with a null key all stay.
     """
     found = near_duplicates(docs, words, percent, key, text).filter(F.col(key).isNotNull())
     found = materialize(found.select(key, "kept"), "kept")
@@ -167,7 +167,9 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "
     rows = keep_ids(docs, dropped, key, "left_anti")
     kept = found.filter("kept")
     repeated = kept.groupBy(key).count().filter("count > 1").limit(1).count()
-    return rows.dropDuplicates([key]) if repeated else rows
+    if not repeated:
+        return rows
+    return rows.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionAll(rows.filter(F.col(key).isNull()))
 
 
 ORACLE_SQL = r"""

@@ -111,6 +111,12 @@ def test_deduplicate(spark):
         neardup.BROADCAST_IDS = many
 
 
+def test_null_keys_stay_beside_a_repeated_key(spark):
+    rows = [(9, "other words here now then too"), (9, "other words here now then too"), (None, "one text without an id"), (None, "a second text without an id"), (None, None)]
+    out = neardup.deduplicate(frame(spark, rows)).select("doc_id", "text")
+    assert got(out) == sorted(rows[1:], key=repr)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 2), (2, 1), (7, 7)], "a long, b long")
     assert sorted(map(tuple, components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8)]
