@@ -23,6 +23,14 @@ EARLIER = {
         "SELECT c_nationkey, list_sort(list(c_mktsegment)) AS segments, string_agg(c_mktsegment, '|' ORDER BY c_mktsegment) AS joined, coalesce(sum(c_custkey) FILTER (WHERE c_acctbal < 0), 0)::BIGINT AS poor, arg_min(c_custkey, (c_acctbal, c_custkey)) AS poorest FROM customer WHERE c_custkey < 300 GROUP BY c_nationkey",
         {"customer": "c_custkey < 300"},
     ),
+    "full_join": (
+        "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON c_custkey = s_suppkey",
+        {"customer": "c_custkey % 3 = 0", "supplier": "s_suppkey % 2 = 0"},
+    ),
+    "range_band_join": (
+        "SELECT l_orderkey, l_linenumber, p_partkey FROM lineitem JOIN part ON l_extendedprice BETWEEN p_retailprice AND p_retailprice + 50 WHERE p_size = 10 AND l_quantity < 3",
+        {"part": "p_size = 10", "lineitem": "l_quantity < 3"},
+    ),
 }
 
 
@@ -60,3 +68,10 @@ def test_aggregates_of_all_customers(spark):
     got = entry.queries()["sql_aggregates"](spark, LARGER).collect()
     n = spark.read.parquet(f"{LARGER}/customer.parquet").count()
     assert n > 300 and sum(len(r["segments"]) for r in got) == sum(len(r["joined"].split("|")) for r in got) == n
+
+
+def test_joins_of_all_rows(spark):
+    customers = spark.read.parquet(f"{DATA}/customer.parquet").count()
+    assert entry.queries()["full_join"](spark, DATA).filter("c_custkey is not null").count() == customers
+    pairs = duckdb.sql(f"SELECT count(*) FROM '{DATA}/lineitem.parquet' JOIN '{DATA}/part.parquet' ON l_extendedprice BETWEEN p_retailprice AND p_retailprice + 50").fetchall()[0][0]
+    assert entry.queries()["range_band_join"](spark, DATA).count() == pairs
