@@ -127,9 +127,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     draw = F.pmod(F.xxhash64("_k", F.length("_t")), F.lit(1 << 30)) / float(1 << 30)
     texts, langs, held = [], [], 0
     for r in sampled(rows.filter(draw < share).select("_t", "_l"), "_t", 2 * wanted * max(1, len(sizes))).toLocalIterator():
+        if held + len(r[0]) > SAMPLE_CHARS:
+            continue
         held += len(r[0])
-        if held > SAMPLE_CHARS:
-            break
         texts.append(r[0])
         langs.append(r[1])
     return train(texts, langs)

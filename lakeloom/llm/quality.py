@@ -220,9 +220,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     draw = F.pmod(F.xxhash64(F.col(key), F.length(F.col(text))), F.lit(1 << 30)) / float(1 << 30)
     texts, held = [], 0
     for r in sampled(docs.filter(draw < share).select(F.coalesce(F.col(text), F.lit("")).alias("_t")), "_t", 2 * sample).toLocalIterator():
+        if held + len(r[0]) > SAMPLE_CHARS:
+            continue
         held += len(r[0])
-        if held > SAMPLE_CHARS:
-            break
         texts.append(r[0])
     good = model.posterior(pattern_code(votes(pa.array(texts, pa.string())))) if texts else np.zeros(0)
     return model, train_scorer(texts, good)

@@ -187,9 +187,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).join(F.broadcast(chosen), "_k")
     texts, ys, size = [], [], 0
     for r in sampled(rows.select("_t", "_y"), "_t", 2 * per_class).toLocalIterator():
+        if size + len(r[0]) > SAMPLE_BYTES:
+            continue
         size += len(r[0])
-        if size > SAMPLE_BYTES:
-            break
         texts.append(r[0])
         ys.append(r[1])
     return texts, np.array(ys, np.int64)

@@ -1,5 +1,6 @@
 """Toxicity, language, quality: training, edge cases, held-out accuracy on the driver's tables."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -135,3 +136,21 @@ def test_quality_agrees_with_labels(spark):
     assert auc(np.array([got[r["doc_id"]]["posterior"] for r in labels]), y) > 0.97
     assert auc(np.array([got[r["doc_id"]]["score"] for r in labels]), y) > 0.9
     assert np.mean([got[r["doc_id"]]["kept"] for r in labels if r["quality"] == 1]) > 0.97
+
+
+def test_a_text_over_the_budget_does_not_end_the_sample(spark, monkeypatch):
+    long = min(("word " * n for n in range(60, 160)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    short = [(k, f"text {k}", "x") for k in range(1, 40)]
+    docs = spark.createDataFrame([(100, long, "x"), *short], "doc_id long, text string, lang string")
+    taken = {t for k, t, _ in short if zlib.crc32(str(k).encode()) % 5}
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 295)
+    labels = spark.createDataFrame([(100, 1), *[(k, k % 2) for k, _, _ in short]], "doc_id long, toxic int")
+    assert set(toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", 100)[0]) == taken
+    seen = []
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 295)
+    monkeypatch.setattr(langid, "train", lambda texts, langs: seen.append(set(texts)))
+    langid.fit(docs)
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 299)
+    monkeypatch.setattr(quality, "train_scorer", lambda texts, good: seen.append(set(texts)))
+    quality.fit(docs.limit(30), sample=1000)
+    assert seen[0] == taken and len(seen[1]) == docs.limit(30).filter("length(text) < 20").count()
