@@ -7,10 +7,12 @@ banded; BANDS bands of ROWS values miss a pair of similarity 0.8 with probabilit
 
 Candidate pairs are first compared by sketches, the lowest bytes of all values: only pairs whose
 estimate is within SLACK (more than five standard deviations at 0.8) of the limit go on to the full
-sets, so few sets are shuffled. They are confirmed in two steps. First every member of a bucket against the bucket's smallest
-id: that is linear and settles groups of near copies, however large. Then all pairs that share a
-bucket but not yet a component: none is left out, so no link between different components is lost,
-and pairs within a component needn't be compared. Components come from `_components`.
+sets, so few sets are shuffled. They are confirmed in two steps. First every member of a bucket
+against the bucket's smallest id: that is linear and settles groups of near copies, however large.
+Then what shares a bucket but not yet a component. In buckets of up to SMALL members that is all
+pairs. Larger ones hold texts that share a template, say, without being near; their members are
+joined on rare shingles instead (`prefixes`), which loses no pair above the limit and gives hardly
+any below. Pairs within a component needn't be compared. Components come from `_components`.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from lakeloom.llm._common import join_salted, map_texts, materialize, utf8
 from lakeloom.llm._components import components
 
 ROWS, BANDS = 5, 40
+#: Members up to which all pairs of a bucket are compared.
+SMALL = 16
+#: Cells of the sketch that orders shingles by frequency; a full sketch costs time, not links.
+CELL_BITS = 20
 #: How far a sketch's estimate may be below the limit. The estimate's standard deviation at 0.8 is 0.028.
 SLACK = 0.15
 #: Up to so many ids (8 bytes each) a list of ids is broadcast; beyond it, it is shuffled.
@@ -60,7 +66,7 @@ def signatures(docs: DataFrame, words: int, key: str = "doc_id", text: str = "te
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, set and sketch of the rows whose id is in ``ids``; texts are shuffled only if the ids are many."""
+    """id, fp, shingles and sketch of the rows whose id is in ``ids``; texts are shuffled only if the ids are many."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = keep_ids(rows, ids, "id", "left_semi")
 
@@ -74,10 +80,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int, key: str = "doc_id", te
                 full = np.flatnonzero(size)
                 if len(full):
                     low[full] = _shingles.min_max(h, np.append(off[full], off[-1]), ROWS * BANDS // 2).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, hi - lo), lists, pa.array([x.tobytes() for x in low], pa.binary())], ["id", "shingles", "sketch"])
+                prints = np.stack(_shingles.fingerprints(h, off), 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, hi - lo), pa.array([x.tobytes() for x in prints], pa.binary()), lists, pa.array([x.tobytes() for x in low], pa.binary())], ["id", "fp", "shingles", "sketch"])
                 at += hi - lo
 
-    return map_texts(rows, run, "id bigint, shingles array<bigint>, sketch binary")
+    return map_texts(rows, run, "id bigint, fp binary, shingles array<bigint>, sketch binary")
 
 
 def keep_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
@@ -110,7 +117,94 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur, by the cell that their highest bits name: a fixed number of cells."""
+
+    def run(batches):
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(_cells(batch.column(0).flatten().to_numpy()), minlength=len(total))
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), 1 << 16):
+            some = at[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    cells = sets.select("shingles").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    out[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    return out
+
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """shingle, id, component, n, place and first: the rarest shingles of each set (with its component).
+
+    In one order of all shingles, sets x and y (not larger than y) with the similarity share one
+    among the first |y| - ceil(p |y|) + 1 of y and, as both are at least as large as x, among the
+    first |x| - ceil(2p |x| / (1 + p)) + 1 of x (marked ``first``). Any order will do; by rarity,
+    sets that share common shingles only don't meet.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+
+    def run(batches):
+        for batch in batches:
+            ids, components_ = batch.column("id").to_numpy(), batch.column("component").to_numpy()
+            lists = batch.column("shingles")
+            off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i in range(batch.num_rows):
+                h = flat[off[i] : off[i + 1]]
+                n = len(h)
+                few = n + (percent * n // -100) + 1
+                head = n + (2 * percent * n // -(100 + percent)) + 1
+                h = h[np.lexsort((h, shared.value[_cells(h)]))[:few]]
+                place = np.arange(1, len(h) + 1)
+                same = [pa.array(np.full(len(h), x[i])) for x in (ids, components_)]
+                yield pa.RecordBatch.from_arrays([pa.array(h), *same, pa.array(np.full(len(h), n)), pa.array(place), pa.array(place <= head)], ["shingle", "id", "component", "n", "place", "first"])
+
+    rows = sets.select("id", "component", "shingles")
+    return map_texts(rows, run, "shingle bigint, id bigint, component bigint, n bigint, place bigint, first boolean")
+
+
+def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that share a rare shingle and may have the similarity.
+
+    The place of a pair's first common shingle bounds what they share: none before it, and at most
+    the rest of either set after it. Later common shingles give lower bounds still, so the bound
+    may be applied to every row.
+    """
+    rows = materialize(prefixes(sets, percent), "prefixes")
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi")).select("shingle")
+    rows = materialize(rows.join(mixed, "shingle", "left_semi"), "rare")
+    x, y = rows.filter("first").alias("x"), rows.alias("y")
+    c = lambda name: F.col(name)
+    smaller = (c("x.n") < c("y.n")) | ((c("x.n") == c("y.n")) & (c("x.id") < c("y.id")))
+    most = 1 + F.least(c("x.n") - c("x.place"), c("y.n") - c("y.place"))
+    enough = (100 + percent) * most >= percent * (c("x.n") + c("y.n"))
+    pairs = x.join(y, (c("x.shingle") == c("y.shingle")) & (c("x.component") != c("y.component")) & smaller & enough)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def open_pairs(multi: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that share a bucket (bucket, id, n) but no component yet and may be near."""
+    named = multi.select("bucket", "id", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", F.col("id")))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter(F.col("lo") != F.col("hi")).select("bucket", (F.col("size") > SMALL).alias("large"))
+    named = materialize(named.join(mixed, "bucket"), "mixed")
+    some = named.filter(~F.col("large"))
+    x, y = some.alias("x"), some.alias("y")
+    similar = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")  # else the sets can't be near
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & similar)
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    large = materialize(named.filter("large").select("id", "component").distinct(), "large")
+    if large.limit(1).count():
+        of_large = materialize(sets.join(large, "id"), "largesets")
+        pairs = pairs.unionAll(rare_pairs(of_large, percent))
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,37 +212,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
 
     A set holds the distinct shingles of ``words`` words (white-space runs separate, A-Z are
     lower-cased); fewer words are one shingle, no words none. Texts without words are linked with
-    nothing. Rows of one key are one document: linked. A null key is alone: component_id null,
-    kept. Similarity is the sets' intersection by their union, at least ``percent`` / 100.
+    nothing. Rows of one key are one document: linked, also where their texts differ. A null key is
+    alone: component_id null, kept. Similarity is the sets' intersection by their union, at least
+    ``percent`` / 100.
     """
     base = materialize(signatures(docs, words, key, text), "signatures")
     full = base.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    classes = materialize(full.groupBy("fp").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
+    # repeated rows and copies go in the partial aggregation
+    classes = materialize(full.groupBy("fp").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
+    twice = materialize(full.groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter(F.col("lo") != F.col("hi")).select("id"), "twice")
+    given = keep_ids(full.select("id", "fp"), twice, "id", "left_semi").distinct().join(classes.select("fp", "rep"), "fp")
+    lowest = given.groupBy("id").agg(F.min("rep").alias("b"))
+    given = given.join(lowest, "id").select(F.col("rep").alias("a"), "b").filter(F.col("a") != F.col("b"))
 
     # band buckets of representatives
-    reps = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    members = reps.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket"))
+    members = classes.select(F.col("rep").alias("id"), "n", F.explode("keys").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("_last")).filter(F.col("first") != F.col("_last")).drop("_last")
     multi = materialize(members.join(buckets, "bucket"), "buckets")
     candidates = materialize(multi.select("id").distinct(), "candidates")
-    sets = materialize(sets_of(docs, candidates, words, key, text).dropDuplicates(["id"]), "sets")
+    sets = materialize(sets_of(docs, candidates, words, key, text).dropDuplicates(["id", "fp"]), "sets")
 
-    similar = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))  # noqa: E731 - else the sets can't be near
     stars = multi.filter(F.col("id") != F.col("first")).select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    links = materialize(confirm(stars, sets, percent), "confirmed")
+    links = materialize(confirm(stars, sets, percent).unionAll(given), "confirmed")
     parts = materialize(components(links), "parts")
 
-    # pairs of one bucket that no component joins yet
-    named = multi.select("bucket", "id", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", F.col("id")))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi")).select("bucket")
-    named = materialize(named.join(mixed, "bucket", "left_semi"), "mixed")
-    x, y = named.alias("x"), named.alias("y")
-    open_pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & similar(F.col("x.n"), F.col("y.n")))
-    open_pairs = open_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(confirm(open_pairs, sets, percent), "confirmed")
+    compared = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))  # the smaller id first
+    more = materialize(confirm(open_pairs(multi, parts, sets, percent).join(compared, ["a", "b"], "left_anti"), sets, percent), "confirmed")
     parts = materialize(components(links.unionAll(more)), "parts")
 
-    roots = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", F.col("rep")).alias("component_id"))
+    roots = classes.select("fp", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", F.col("rep")).alias("component_id"))
     slim = base.select(F.col("id").alias(key), "n_shingles", "fp")
     linked = join_salted(materialize(slim.filter((F.col("n_shingles") > 0) & F.col(key).isNotNull()), "linked"), roots, "fp", key, "inner")
     alone = slim.filter((F.col("n_shingles") == 0) | F.col(key).isNull()).withColumn("component_id", F.col(key))

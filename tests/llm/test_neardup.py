@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import _shingles, neardup, queries
 from lakeloom.llm._components import components
@@ -81,6 +82,42 @@ def test_equals_brute_force(spark, words):
     assert got(neardup.near_duplicates(frame(spark, rows), words)) == brute(rows, words)
 
 
+@pytest.mark.parametrize("percent", [60, 80])
+def test_large_buckets_lose_no_pair(spark, monkeypatch, percent):
+    """Every bucket counts as large, so all open pairs come from rare shingles."""
+    monkeypatch.setattr(neardup, "SMALL", 0)
+    rows = corpus(11, 150)
+    assert got(neardup.near_duplicates(frame(spark, rows), 2, percent)) == brute(rows, 2, percent)
+
+
+def test_one_id_with_several_texts(spark):
+    """Its texts are one document, and links of either text count."""
+    words = lambda tag, n=40: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(7, words("a")), (7, words("b")), (3, words("a")), (9, words("b") + " more"), (12, words("a") + " more"), (20, words("c")), (20, words("d")), (21, words("e"))]
+    for order in (rows, rows[::-1]):
+        assert got(neardup.near_duplicates(frame(spark, order), 4)) == brute(rows, 4)
+
+
+def test_templates_stay_linear(spark):
+    """Texts that share three quarters of a template: many in a bucket, none near, few pairs to confirm."""
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join(template + [f"u{i}x{rng.randrange(10**6)}" for _ in range(90)])) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(5)]
+    df = frame(spark, rows)
+    words = 2
+    base = neardup.signatures(df, words)
+    members = base.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket"))
+    multi = members.join(members.groupBy("bucket").count().filter("count > 1"), "bucket").cache()
+    assert multi.groupBy("bucket").count().agg(F.max("count")).first()[0] > 200
+    sets = neardup.sets_of(df, base.select("id"), words).cache()
+    none = spark.createDataFrame([], "id long, component long")
+    pairs = {tuple(r) for r in neardup.open_pairs(multi, none, sets, 80).collect()}
+    assert {(i, 1000 + i) for i in range(5)} <= pairs
+    assert len(pairs) < 16 * len(rows)
+    assert got(neardup.near_duplicates(df, words)) == sorted([(i, n, i - 1000 if i >= 1000 else i, i < 1000) for i, n in base.select("id", "n_shingles").collect()], key=repr)
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one\ttwo"), (6, "one two three"), (None, "one two"), (7, "x"), (7, "x"), (8, "é É"), (9, "É É"), (10, "w " * 50_000), (11, "w " * 50_001), (12, " ".join(map(str, range(60_000)))), (13, " ".join(map(str, range(1, 60_000))))]
     assert got(neardup.near_duplicates(frame(spark, rows), 4)) == brute(rows, 4)
