@@ -30,7 +30,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_chat(_table(spark, sf_dir, "conversations"))
+    """Arguments are validated against `chat_format.TOOLS`."""
+    return chat_format.format_chat(_table(spark, sf_dir, "conversations"), chat_format.tool_schemas(spark))
+
+
+def chat_with_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over a table with calls and results, made from the same conversations."""
+    return chat_format.format_chat(chat_format.with_tools(_table(spark, sf_dir, "conversations")), chat_format.tool_schemas(spark))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +67,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_chat_formatting, op4_bpe, op5_language_id, op6_exact_topk, op7_mixing, op8_nearest, op9_near_duplicates, op10_quality)}
-ORACLES = {"op3_chat_formatting": chat_format.ORACLE_SQL, "op6_exact_topk": exact_topk.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op9_near_duplicates": neardup.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_chat_formatting, chat_with_tools, op4_bpe, op5_language_id, op6_exact_topk, op7_mixing, op8_nearest, op9_near_duplicates, op10_quality)}
+ORACLES = {"op3_chat_formatting": chat_format.ORACLE_SQL, "chat_with_tools": chat_format.TOOLS_SQL, "op6_exact_topk": exact_topk.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op9_near_duplicates": neardup.ORACLE_SQL}
