@@ -22,6 +22,8 @@ from lakeloom.llm._common import materialize
 BUCKETS = 1 << 14
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (3, 1, 2)
+#: Signs that prose has few of.
+SIGNS = "|*#%&$~^=_<>{}[]@/+0123456789"
 
 
 def word_count(text: Column) -> Column:
@@ -34,9 +36,13 @@ def word_count(text: Column) -> Column:
 
 
 def text_quality(text: Column, size: Column) -> Column:
-    """The default quality weight: 1 for usual mean word lengths (2 to 14 characters), else 0.25."""
-    mean = F.length(F.coalesce(text, F.lit(""))) / F.greatest(size, F.lit(1))
-    return F.when(mean.between(2, 14), 1.0).otherwise(0.25)
+    """The default quality weight, in (0, 1]: lower for many signs among the words or odd word lengths.
+
+    1 / (1 + 8 signs per word + distance of the mean word length, blanks included, from 6 by 6).
+    """
+    text, words = F.coalesce(text, F.lit("")), F.greatest(size, F.lit(1))
+    signs = F.length(text) - F.length(F.translate(text, SIGNS, ""))
+    return 1 / (1 + 8 * signs / words + F.abs(F.length(text) / words - 6) / 6)
 
 
 def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", quality: Column | None = None, seed: str = "mix") -> DataFrame:
@@ -50,10 +56,26 @@ def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     return out.withColumn("_draw", draw).withColumnRenamed(source, "_source")
 
 
+def before(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """Add to each row the sums over all rows before it, in an order that must be total.
+
+    Rows are dealt to tasks by ranges of the order; ranges are summed (one row each) and then only
+    a range is summed up in one task. Sums must be exact in any order, such as counts.
+    """
+    parts = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are tasks
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items()]).join(totals, "_range")
+    return out.select(*rows.columns, *[(F.col(n) + F.col(f"_b_{n}")).alias(n) for n in sums])
+
+
 def cycled_weights(sources: DataFrame) -> DataFrame:
     """Add _weight: 3, 1, 2, repeating, over sources by code point, null last. One row per source."""
-    rank = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last()))
-    return sources.withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in CYCLE]), (rank - 1) % len(CYCLE) + 1))
+    ranked = before(sources, [F.col("_source").asc_nulls_last()], _rank=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in CYCLE]), (F.col("_rank") % len(CYCLE) + 1).cast("int"))
+    return ranked.withColumn("_weight", weight).drop("_rank")
 
 
 def targets(weighted: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -61,17 +83,16 @@ def targets(weighted: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFr
 
     The excess of capped sources is reshared by weight until none is above its cap. In ascending
     order of cap / weight that is a prefix: source i is capped if the level that the rest would
-    have, (budget - caps before i) / (weights from i on), reaches its own cap / weight.
+    have, (budget - caps before i) / (weights from i on), reaches its own cap / weight. Only sums
+    over all sources reach the driver.
     """
-    by_level = Window.orderBy(F.col("_limit") / F.col("_weight"), F.col("_source").asc_nulls_last())
-    everywhere = Window.partitionBy()
     out = weighted.withColumn("_limit", F.col("source_size") * cap)
-    out = out.withColumn("_budget", F.sum("source_size").over(everywhere) * share)
-    before = F.coalesce(F.sum("_limit").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("_weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    out = out.withColumn("_level", (F.col("_budget") - before) / after)
-    level = F.max(F.when(F.col("_level") < F.col("_limit") / F.col("_weight"), F.col("_level"))).over(everywhere)
-    out = out.withColumn("target", F.least(F.col("_limit"), F.coalesce(level * F.col("_weight"), F.col("_limit"))))
+    out = before(out, [F.col("_limit") / F.col("_weight"), F.col("_source").asc_nulls_last()], _caps=F.col("_limit"), _weights=F.col("_weight"))
+    out = materialize(out, "levels")
+    size, weights = out.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_weight"), F.lit(0.0))).first()
+    out = out.withColumn("_level", (F.lit(float(size * share)) - F.col("_caps")) / (F.lit(float(weights)) - F.col("_weights")))
+    level = out.agg(F.max(F.when(F.col("_level") < F.col("_limit") / F.col("_weight"), F.col("_level")))).first()[0]
+    out = out.withColumn("target", F.least(F.col("_limit"), F.coalesce(F.lit(level).cast("double") * F.col("_weight"), F.col("_limit"))))
     return out.select("_source", "_weight", "source_size", "target")
 
 
@@ -149,11 +170,12 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g'), '[^x]', '', 'g')) AS BIGINT) AS size,
-         length(coalesce(text, '')) AS chars, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS tie
+         length(coalesce(text, '')) AS chars, length(coalesce(text, '')) - length(translate(coalesce(text, ''), '|*#%&$~^=_<>{}[]@/+0123456789', '')) AS signs,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS tie
   FROM documents),
 e AS (
   SELECT *, -ln((CAST(('0x' || substr(tie, 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
-            / (CASE WHEN CAST(chars AS DOUBLE) / greatest(size, 1) BETWEEN 2 AND 14 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END) AS draw
+            / greatest(1 / (1 + CAST(8 * signs AS DOUBLE) / greatest(size, 1) + abs(CAST(chars AS DOUBLE) / greatest(size, 1) - 6) / 6), 1e-6::DOUBLE) AS draw
   FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS most FROM s),

@@ -82,6 +82,37 @@ def test_equals_sql(spark):
     assert got == sorted((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in want)
 
 
+def test_default_quality_decides_on_documents(spark):
+    """Weights vary over the table, and with them who is taken."""
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    weights = df.select(mixing.text_quality(F.col("text"), mixing.word_count(F.col("text"))).alias("w"))
+    low, high, n = weights.agg(F.min("w"), F.max("w"), F.countDistinct("w")).first()
+    assert 0 < low < 0.5 < high <= 1 and n > 500
+    own = {r["doc_id"]: r["taken"] for r in mixing.mix_documents(df).collect()}
+    flat = {r["doc_id"]: r["taken"] for r in mixing.mix_documents(df, quality=F.lit(1.0)).collect()}
+    differ = [k for k in own if own[k] != flat[k]]
+    assert len(differ) > 10
+    quality = {r["doc_id"]: r["w"] for r in df.select("doc_id", mixing.text_quality(F.col("text"), mixing.word_count(F.col("text"))).alias("w")).collect()}
+    mean = lambda ids: sum(quality[k] for k in ids) / len(ids)
+    assert mean([k for k in differ if own[k] > flat[k]]) > mean([k for k in differ if own[k] < flat[k]])
+
+
+def test_prefix_sums_over_ranges(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000, i % 5) for i in range(1000)] + [(None, 3)], "k long, n long")
+    out = mixing.before(df, [F.col("k").asc_nulls_last()], total=F.col("n"), rank=F.lit(1)).collect()
+    at, rank = 0, 0
+    for r in sorted(out, key=lambda r: (r["k"] is None, r["k"] or 0)):
+        assert (r["total"], r["rank"]) == (at, rank)
+        at, rank = at + r["n"], rank + 1
+    assert mixing.before(df.limit(0), [F.col("k")], rank=F.lit(1)).count() == 0
+
+
+def test_clashing_columns_are_kept(spark):
+    df = docs(spark, [(i, "a", "w w") for i in range(20)]).withColumn("_size", F.lit(9)).withColumn("_source", F.lit("q"))
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and {(r["_size"], r["_source"], r["target"]) for r in out.collect()} == {(9, "q", 2)}
+
+
 def test_native_plan(spark):
     plan = queries.op7_mixing(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
