@@ -117,6 +117,8 @@ def binary_array(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
+#: Up to so many ids or digests (some dozen bytes each) a list of them is broadcast; beyond, it is shuffled.
+BROADCAST_IDS = 500_000
 #: A key counts as hot above this share of the rows, so at most HOT_PARTS keys are hot.
 HOT_PARTS = 1000
 SALTS = 64
@@ -144,17 +146,20 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
 BATCH_ROWS = 1000
 
 
-def map_texts(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with small batches and workers that give memory back when a task ends.
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows: what a task of texts holds at once.
 
-    The session's batch size is lowered if it is larger: it bounds what a task holds of its
-    partition, in Spark and in Python, whatever the partition's size.
+    The setting is read when a frame runs, after the operator has returned it, so it is for the
+    application to make: the queries and the pipeline do, the operators leave the session alone.
     """
-    spark = df.sparkSession
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(setting)) > BATCH_ROWS or int(spark.conf.get(setting)) <= 0:
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
         spark.conf.set(setting, BATCH_ROWS)
 
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with workers that give memory back when a task ends (see `small_batches`)."""
+
     def lean(batches):
         yield from run(batches)
         trim()

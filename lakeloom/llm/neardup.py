@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm import _shingles
-from lakeloom.llm._common import join_salted, map_texts, materialize, utf8
+from lakeloom.llm._common import BROADCAST_IDS, join_salted, map_texts, materialize, utf8
 from lakeloom.llm._components import components
 
 ROWS, BANDS = 5, 40
@@ -33,8 +33,6 @@ SMALL = 16
 CELL_BITS = 20
 #: How far a sketch's estimate may be below the limit. The estimate's standard deviation at 0.8 is 0.028.
 SLACK = 0.15
-#: Up to so many ids (8 bytes each) a list of ids is broadcast; beyond it, it is shuffled.
-BROADCAST_IDS = 500_000
 
 
 def signatures(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:

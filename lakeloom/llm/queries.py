@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm import ann, bpe, chat_format, exact_topk, langid, mixing, neardup, quality, token_counts, toxicity
-from lakeloom.llm._common import new_path
+from lakeloom.llm._common import new_path, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -17,6 +17,7 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

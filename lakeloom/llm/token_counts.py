@@ -1,9 +1,10 @@
 """Token counts through a digest cache.
 
 A cache row holds the digest of a normalised content, the digest of a tokenizer version and the
-token count. Documents are joined to the cache by both digests; the distinct contents that it
-lacks are encoded once each and appended. A content's copies are encoded once however many rows
-hold it, and a later call with the same cache encodes only what is new.
+token count. Documents are joined to the cache by both digests: first digests alone tell which
+contents it lacks, then the text of each distinct one is fetched, encoded and appended. A content's
+copies are encoded once however many rows hold it, and a later call with the same cache encodes, and
+moves, only what is new.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import join_salted, map_texts, materialize, spans, utf8
+from lakeloom.llm._common import BROADCAST_IDS, join_salted, map_texts, materialize, spans, utf8
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
 
@@ -84,8 +85,28 @@ def read_cache(spark, path: str, tokenizer: str) -> DataFrame | None:
     return rows.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))  # two writers may have added the same content
 
 
-def fill_cache(docs: DataFrame, tokenizer: str, cache: str, text: str = "text") -> None:
-    """Encode the distinct contents of ``docs`` that the cache lacks and append them to it.
+def missing(digests: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct digests that the cache lacks; only digests move. Written."""
+    return materialize(digests.select("content_digest").distinct().join(known, "content_digest", "left_anti"), "missing")
+
+
+def contents(docs: DataFrame, lacking: DataFrame | None, text: str = "text") -> DataFrame:
+    """content_digest and text of each distinct content; only of those ``lacking``, if given.
+
+    Up to BROADCAST_IDS missing digests are broadcast, so no text that the cache knows leaves its
+    task. More are joined after the texts of each task have been reduced to distinct ones.
+    """
+    rows = docs.select(content_digest(F.col(text)).alias("content_digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    once = lambda df: df.groupBy("content_digest").agg(F.first("text").alias("text"))
+    if lacking is None:
+        return once(rows)
+    if lacking.count() <= BROADCAST_IDS:
+        return once(rows.join(F.broadcast(lacking), "content_digest", "left_semi"))
+    return once(rows).join(lacking, "content_digest", "left_semi")
+
+
+def fill_cache(docs: DataFrame, digests: DataFrame, tokenizer: str, cache: str, text: str = "text") -> None:
+    """Encode the distinct contents of ``docs`` (with ``digests``) that the cache lacks and append them.
 
     Copies within a map task are dropped before the shuffle, so a content that fills a third of
     the rows moves once per task at most. A retried task writes the same rows again; Spark's
@@ -93,10 +114,7 @@ def fill_cache(docs: DataFrame, tokenizer: str, cache: str, text: str = "text")
     """
     version = tokenizer_digest(tokenizer)
     known = read_cache(docs.sparkSession, cache, tokenizer)
-    rows = docs.select(content_digest(F.col(text)).alias("content_digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    misses = rows.groupBy("content_digest").agg(F.first("text").alias("text"))
-    if known is not None:
-        misses = misses.join(known, "content_digest", "left_anti")
+    misses = contents(docs, missing(digests, known) if known is not None else None, text)
 
     def run(batches):
         count = counter(tokenizer)
@@ -116,7 +134,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, key: str = "doc_id
     spark = docs.sparkSession
     keyed = docs.select(F.col(key).alias(key), content_digest(F.col(text)).alias("content_digest"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"))
     keyed = materialize(keyed, "digests")
-    fill_cache(docs, tokenizer, cache, text)
+    fill_cache(docs, keyed, tokenizer, cache, text)
     known = read_cache(spark, cache, tokenizer)
     out = join_salted(keyed, known, "content_digest", key, "inner")
     return out.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -137,6 +137,39 @@ def test_cache_is_filled_once(spark, path, tmp_path):
     assert token_counts.count_tokens(df.limit(0), path, cache).count() == 0
 
 
+@pytest.mark.parametrize("most", [500_000, 1])
+def test_warm_cache_moves_misses_only(spark, path, tmp_path, monkeypatch, most):
+    """Counts of a table of which half is known; what the cache knows isn't read from it again."""
+    monkeypatch.setattr(token_counts, "BROADCAST_IDS", most)
+    cache = f"file://{tmp_path}/cache{most}"
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    first = {r["doc_id"]: tuple(r) for r in token_counts.count_tokens(docs.filter("doc_id % 2 = 0"), path, cache).collect()}
+    known = spark.read.parquet(cache).count()
+    both = {r["doc_id"]: tuple(r) for r in token_counts.count_tokens(docs, path, cache).collect()}
+    assert all(both[k] == v for k, v in first.items()) and len(both) == docs.count()
+    cold = {r["doc_id"]: tuple(r) for r in token_counts.count_tokens(docs, path, f"file://{tmp_path}/cold{most}").collect()}
+    assert both == cold
+    rows = spark.read.parquet(cache)
+    assert known < rows.count() == rows.select("content_digest").distinct().count() == docs.select("text").distinct().count()
+
+
+def test_hits_are_not_shuffled(spark, path, tmp_path):
+    """The texts are reduced to the misses before any exchange, also with automatic broadcasts off."""
+    cache = f"file://{tmp_path}/cache"
+    df = frame(spark, [f"text {i}" for i in range(50)])
+    token_counts.count_tokens(df, path, cache).count()
+    digests = df.select(token_counts.content_digest(df["text"]).alias("content_digest"))
+    assert token_counts.missing(digests, token_counts.read_cache(spark, cache, path)).count() == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        lacking = token_counts.missing(digests.limit(1).unionByName(digests.limit(0)), spark.createDataFrame([], "content_digest binary, n_tokens long"))
+        plan = token_counts.contents(df, lacking)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")  # plans print from the top
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_vocabularies(name):
     path = queries.tokenizer_path(name)
