@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, langid, mixing, neardup, toxicity
-from lakeloom.llm._common import materialize
+from lakeloom.llm._common import materialize, small_batches
 from lakeloom.llm.queries import tokenizer_path
 
 #: Below this share of known n-grams a text is in none of the learned languages.
@@ -18,6 +18,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Learned from the documents' own languages; where none has one, nothing can be told and all stay.
     """
+    small_batches(spark)
     names = docs.columns
     model = langid.fit(docs)
     if not model.languages:
@@ -28,12 +29,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, column="_score").filter(F.col("_score") < 0.5).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
+    small_batches(spark)
     return neardup.deduplicate(docs, words=5)
 
 
@@ -44,6 +47,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of texts."""
+    small_batches(spark)
     return bpe.encode(docs.select("doc_id", "source", "lang", "text"), tokenizer_path(), keep_text=False)
 
 
