@@ -27,8 +27,8 @@ from lakeloom.llm._common import fold, map_texts, sampled, spans, utf8
 from lakeloom.llm._kernels import ngrams, spaced, word_starts
 
 BITS, DIM, SIZES = 18, 8, (3, 4, 5)
-#: Labelled texts of each class that training may use at most, and their bytes in all.
-SAMPLE_DOCS, SAMPLE_BYTES = 1500, 16_000_000
+#: Labelled texts of each class that training may use at most, and their characters in all.
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 48_000_000
 
 
 def _table() -> np.ndarray:
@@ -154,9 +154,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, rate: float =
         part -= np.maximum.reduceat(part, begin)[doc]
         np.exp(part, out=part)
         part /= np.add.reduceat(part, begin)[doc]
-        text_logit = np.add.reduceat(part * z, begin) + bias
-        error = (1 / (1 + np.exp(-text_logit)) - target) * weight / len(target)
-        # of the softmax-weighted mean; its weights' own derivative is left out
+        mean = np.add.reduceat(part * z, begin)
+        error = (1 / (1 + np.exp(-mean - bias)) - target) * weight / len(target)
+        # the derivative of a softmax-weighted mean, its weights included
+        part *= 1 + sharpness * (z - mean[doc])
         per_word = np.bincount(members, error[doc] * part, count) / size
         per_bucket = _summed(local, per_word, word, len(used))
         pull = emb.T @ per_bucket
@@ -172,9 +173,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, rate: float =
     return Model(weights, bias)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> tuple[list[str], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``per_class`` rows of each class, by the hash of their keys.
 
+    They have ``most_chars`` characters at most: a text that no longer fits is left out and the
+    next ones are tried, so one long text costs its own place only.
+
     Only rows whose crc32(key) mod 5 isn't 0 take part. The ids are chosen from the label table
     alone (a bounded list, hence broadcast), then one scan fetches their texts.
     """
@@ -187,7 +191,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).join(F.broadcast(chosen), "_k")
     texts, ys, size = [], [], 0
     for r in sampled(rows.select("_t", "_y"), "_t", 2 * per_class).toLocalIterator():
-        if size + len(r[0]) > SAMPLE_BYTES:
+        if size + len(r[0]) > most_chars:
             continue
         size += len(r[0])
         texts.append(r[0])
@@ -195,9 +199,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     return texts, np.array(ys, np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = SAMPLE_DOCS) -> Model:
-    """Train on a bounded sample of the labelled rows that aren't held out."""
-    return train(*labelled_sample(docs, labels, key, text, label, per_class))
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> Model:
+    """Train on a bounded sample of the labelled rows that aren't held out (see `labelled_sample`)."""
+    return train(*labelled_sample(docs, labels, key, text, label, per_class, most_chars))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
