@@ -24,7 +24,9 @@ from lakeloom.llm._kernels import ngrams, spaced
 
 CELL_BITS, HASHES, SIZES = 20, 2, (4, 5)
 #: Documents sampled per language (on average) and in all, and the characters that training may hold.
-SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS = 600, 8000, 60_000_000
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS = 600, 8000, 100_000_000
+#: Languages that a model may have: each has a bit in every cell and a row on the driver.
+MOST_LANGUAGES = 1000
 MIN_SHARE = 0.01
 UNKNOWN = "und"
 
@@ -113,13 +115,17 @@ def train(texts: list[str], langs: list[str]) -> Model:
     return Model(languages, int(sizes.argmax()), planes, np.array(filled) ** HASHES)
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_DOCS) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> Model:
     """Train on about ``per_language`` documents of each language, chosen by the hash of key and text.
 
-    Only rows with a language and crc32(key) mod 5 other than 0 take part.
+    Only rows with a language and crc32(key) mod 5 other than 0 take part. The sample has
+    ``most_chars`` characters at most: a text that no longer fits is left out and the next ones are
+    tried. More than MOST_LANGUAGES languages are refused.
     """
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(lang).alias("_l")).filter(F.col("_l").isNotNull() & F.col("_t").isNotNull() & (fold(F.col("_k")) != 0))
-    sizes = rows.groupBy("_l").count().collect()  # one row per language
+    sizes = rows.groupBy("_l").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     wanted = min(per_language, max(1, SAMPLE_TOTAL // max(1, len(sizes))))
     share = F.lit(0.0)
     for r in sizes:
@@ -127,7 +133,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     draw = F.pmod(F.xxhash64("_k", F.length("_t")), F.lit(1 << 30)) / float(1 << 30)
     texts, langs, held = [], [], 0
     for r in sampled(rows.filter(draw < share).select("_t", "_l"), "_t", 2 * wanted * max(1, len(sizes))).toLocalIterator():
-        if held + len(r[0]) > SAMPLE_CHARS:
+        if held + len(r[0]) > most_chars:
             continue
         held += len(r[0])
         texts.append(r[0])
