@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from lakeloom.llm.bpe import slice_hashes
 
 BITS = 15
 #: Documents that train the scorer (on average), and the characters in all that training may hold.
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 40_000_000
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 60_000_000
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("listing", "shouting", "decoration", "repetition", "exclamation", "sentences", "prose")
 
@@ -45,6 +46,8 @@ _COUNTED = {
     "bang": _marks("!"),
     "stop": _marks(".?"),
 }
+#: Sentence ends of other scripts; they count as "stop".
+STOPS = ("。", "．", "｡", "！", "？", "।", "॥", "؟", "۔", "።", "։", "။", "។")
 
 
 def traits(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -52,6 +55,7 @@ def traits(texts: pa.Array) -> dict[str, np.ndarray]:
     data, offsets = utf8(texts)
     n = len(offsets) - 1
     out = {k: np.zeros(n) for k in (*_COUNTED, "words", "repeats")}
+    wide = data.size and int(data.max()) >= 0xD6  # the first byte of the least of STOPS
     for lo, hi in spans(offsets):
         raw, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if not len(raw):
@@ -69,6 +73,8 @@ def traits(texts: pa.Array) -> dict[str, np.ndarray]:
         out["words"][lo:hi] += np.bincount(doc, minlength=hi - lo)
         same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
         out["repeats"][lo:hi] += np.bincount(doc[1:][same], minlength=hi - lo)
+    for sign in STOPS if wide else ():
+        out["stop"] += pc.count_substring(texts, sign).fill_null(0).to_numpy(zero_copy_only=False)
     return out
 
 
@@ -209,8 +215,12 @@ def label_patterns(docs: DataFrame, text: str = "text", column: str = "vote_patt
     return map_texts(docs, run, schema)
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> tuple[LabelModel, Scorer]:
-    """Label model from the votes on all documents, scorer from about ``sample`` of them."""
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> tuple[LabelModel, Scorer]:
+    """Label model from the votes on all documents, scorer from about ``sample`` of them.
+
+    The sample has ``most_chars`` characters at most: a text that no longer fits is left out and
+    the next ones are tried.
+    """
     patterns = label_patterns(docs.select(F.col(text).alias("text"))).groupBy("vote_pattern").count().collect()  # 3**7 rows at most
     codes, counts = np.array([r[0] for r in patterns], np.int64), np.array([r[1] for r in patterns], np.int64)
     if not len(codes):
@@ -220,7 +230,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     draw = F.pmod(F.xxhash64(F.col(key), F.length(F.col(text))), F.lit(1 << 30)) / float(1 << 30)
     texts, held = [], 0
     for r in sampled(docs.filter(draw < share).select(F.coalesce(F.col(text), F.lit("")).alias("_t")), "_t", 2 * sample).toLocalIterator():
-        if held + len(r[0]) > SAMPLE_CHARS:
+        if held + len(r[0]) > most_chars:
             continue
         held += len(r[0])
         texts.append(r[0])

@@ -69,17 +69,35 @@ def test_language_edge_cases(spark, odd):
     assert langid.predict_documents(odd.limit(0)).count() == 0
 
 
+def exact_model(texts, langs):
+    """The n-grams of each language as sets: what the filter stands for."""
+    sets = {}
+    for x in sorted(set(langs)):
+        grams = {}
+        own = [t for t, l in zip(texts, langs) if l == x]
+        for t in own:
+            raw = np.frombuffer(t.lower().encode(), np.uint8)
+            for h in np.unique(np.concatenate([h for h, _ in langid._hashes(raw, np.array([0, len(raw)]))])).tolist():
+                grams[h] = grams.get(h, 0) + 1
+        sets[x] = {h for h, n in grams.items() if n >= max(min(2, len(own)), langid.MIN_SHARE * len(own))}
+    return sets
+
+
 def test_language_filter_against_sets():
-    """Popcounts with an exact set per language give the same decisions."""
-    words = {"aa": ["alpha", "beta", "gamma"], "bb": ["uno", "due", "tre"], "cc": ["eins", "zwei", "drei"]}
+    """Shares of n-grams in exact sets per language: the filter's corrected popcounts are near them, and decide alike."""
+    words = {"aa": ["alpha", "beta", "gamma", "delta"], "bb": ["uno", "due", "tre", "beta"], "cc": ["eins", "zwei", "drei", "deltas"]}
     rng = np.random.default_rng(0)
     make = lambda x, n: " ".join(rng.choice(words[x], n))
     texts, langs = zip(*[(make(x, 20), x) for x in words for _ in range(30)])
-    model = langid.train(list(texts), list(langs))
-    test = [(make(x, 5), x) for x in words for _ in range(20)] + [(make("aa", 9) + " " + make("bb", 3), "aa")]
-    best, score = model.predict(pa.array([t for t, _ in test]))
-    assert [model.languages[b] for b in best] == [x for _, x in test]
-    assert (score > 0.5).all() and (model.false_rate < 0.01).all()
+    model, sets = langid.train(list(texts), list(langs)), exact_model(texts, langs)
+    test = [make(x, 5) for x in words for _ in range(20)] + [make("aa", 9) + " " + make("bb", 3), make("bb", 6) + " unheard " + make("cc", 5)]
+    best, score = model.predict(pa.array(test))
+    for t, b, s in zip(test, best, score):
+        raw = np.frombuffer(t.lower().encode(), np.uint8)
+        grams = np.concatenate([h for h, _ in langid._hashes(raw, np.array([0, len(raw)]))]).tolist()
+        shares = {x: np.mean([h in own for h in grams]) for x, own in sets.items()}
+        assert shares[model.languages[b]] == max(shares.values()) and s == pytest.approx(max(shares.values()), abs=0.01)
+    assert (model.false_rate < 0.01).all()
 
 
 def test_many_languages():
@@ -139,18 +157,29 @@ def test_quality_agrees_with_labels(spark):
 
 
 def test_a_text_over_the_budget_does_not_end_the_sample(spark, monkeypatch):
+    """One text larger than the whole budget, first in the order of the sample."""
     long = min(("word " * n for n in range(60, 160)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
     short = [(k, f"text {k}", "x") for k in range(1, 40)]
     docs = spark.createDataFrame([(100, long, "x"), *short], "doc_id long, text string, lang string")
     taken = {t for k, t, _ in short if zlib.crc32(str(k).encode()) % 5}
-    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 295)
     labels = spark.createDataFrame([(100, 1), *[(k, k % 2) for k, _, _ in short]], "doc_id long, toxic int")
-    assert set(toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", 100)[0]) == taken
+    texts, ys = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", most_chars=299)
+    assert set(texts) == taken and set(ys.tolist()) == {0, 1}
     seen = []
-    monkeypatch.setattr(langid, "SAMPLE_CHARS", 295)
     monkeypatch.setattr(langid, "train", lambda texts, langs: seen.append(set(texts)))
-    langid.fit(docs)
-    monkeypatch.setattr(quality, "SAMPLE_CHARS", 299)
+    langid.fit(docs, most_chars=299)
     monkeypatch.setattr(quality, "train_scorer", lambda texts, good: seen.append(set(texts)))
-    quality.fit(docs.limit(30), sample=1000)
-    assert seen[0] == taken and len(seen[1]) == docs.limit(30).filter("length(text) < 20").count()
+    quality.fit(docs, most_chars=299)
+    assert seen[0] == taken and seen[1] == {t for _, t, _ in short}
+
+
+def test_other_scripts_have_sentences():
+    texts = pa.array(["这 是 一 个 句 子 。 " * 5, "यह एक वाक्य है । " * 6, "plain words without any end " * 6])
+    assert [r[quality.LABELLERS.index("sentences")] for r in quality.votes(texts)] == [quality.GOOD, quality.GOOD, quality.BAD]
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(docs)
