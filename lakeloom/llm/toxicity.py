@@ -28,7 +28,7 @@ from lakeloom.llm._kernels import ngrams, spaced, word_starts
 
 BITS, DIM, SIZES = 18, 8, (3, 4, 5)
 #: Labelled texts of each class that training may use at most, and their characters in all.
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 48_000_000
+SAMPLE_DOCS, SAMPLE_CHARS = 1500, 48_000_000
 
 
 def _table() -> np.ndarray:
