@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from lakeloom.operators.aggregates import surrogate_keys
+
 
 def window(partition: list, order: list | None = None, rows: tuple[int | None, int | None] | None = None) -> WindowSpec:
     """A window with a ROWS frame.
@@ -36,9 +38,15 @@ def max_by(x: Column, y: Column, spec: WindowSpec, order_desc: list[Column]) ->
     return F.max_by(x, F.when(y.isNotNull(), F.struct(y, *order_desc))).over(spec)
 
 
-def surrogate_key(partition: list[str]) -> Column:
-    """One number per partition key: a hash, so no global sort is needed."""
-    return F.xxhash64(*partition)
+def surrogate_key(df: DataFrame, partition: list[str], column: str = "surrogate_key") -> DataFrame:
+    """Add one number per partition key: 0 to n - 1, unique, without a sort of all keys in a task."""
+    keys = surrogate_keys(df, partition, column)
+    same = None
+    for k in partition:
+        both = df[k].eqNullSafe(F.col(f"_k_{k}"))
+        same = both if same is None else same & both
+    named = keys.select(*[F.col(k).alias(f"_k_{k}") for k in partition], column)
+    return df.join(named, same).drop(*[f"_k_{k}" for k in partition])
 
 
 def session_window(df: DataFrame, partition: list[str], ts: str, gap_seconds: float, column: str = "session_start") -> DataFrame:

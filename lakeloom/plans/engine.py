@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +19,24 @@ class Engine:
     """One session's tables, views, functions and sinks.
 
     ``registry`` finds sources and sinks by table name; names that it doesn't know must be tables
-    or views of the session. Python scalar, aggregate and table functions are registered with
-    ``function`` and used by name.
+    or views of the session. Python scalar, aggregate, window and table functions are registered
+    with ``function`` and used by name; names that stand for SQL with ``expression``.
+
+    gettimestamp() is the time of ``clock`` (UTC), taken again once ``tick`` seconds have passed: all
+    of a query, and of a maintained view's batch, see one time. Failures of check_value and
+    check_true in the statements of the last `sql` are rows of `violations`.
+
+    ``substream`` runs only the statements of that SUBSTREAM (and those before the first); others'
+    are left to the engines that share the work.
     """
 
-    def __init__(self, spark: SparkSession, registry: Registry | None = None) -> None:
+    def __init__(self, spark: SparkSession, registry: Registry | None = None, clock: Callable[[], datetime] | None = None, tick: float = 3600, substream: str | None = None) -> None:
         self.spark = configure(spark)
         self.registry = registry or Registry()
         self.schemas: dict[str, str] = {}
+        self.clock, self.tick, self.substream = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None)), tick, substream
+        self._now: datetime | None = None
+        self._checks: list[str] = []
 
     def function(self, name: str, f: Callable) -> None:
         """Register a (pandas) UDF, grouped-aggregate UDF or UDTF for SQL."""
@@ -34,10 +45,35 @@ class Engine:
         else:
             self.spark.udf.register(name, f)
 
+    @staticmethod
+    def expression(name: str, to_sql: Callable, kind: str = "scalar") -> None:
+        """Let a name stand for a scalar, aggregate or window expression (see `dialect.register`)."""
+        dialect.register(name, to_sql, kind)
+
+    def now(self) -> datetime:
+        """The time that gettimestamp() has: of the clock, at most ``tick`` seconds old."""
+        time = self.clock()
+        if self._now is None or (time - self._now).total_seconds() >= self.tick:
+            self._now = time
+        return self._now
+
+    def violations(self) -> DataFrame:
+        """message and tags of the rows that failed a data check in the last `sql`."""
+        out = self.spark.createDataFrame([], "message string, tags map<string,string>")
+        for check in self._checks:
+            out = out.unionByName(self.frame(check))
+        return out
+
     def sql(self, text: str) -> list[DataFrame]:
         """Run all statements; the frames of the queries, and what was inserted, in order."""
-        out = []
+        out, current = [], None
+        self._checks = []
         for s in dialect.statements(text):
+            if s.kind == "substream":
+                current = s.name
+            elif self.substream is not None and current is not None and current.lower() != self.substream.lower():
+                continue
+            self._checks += s.checks
             if s.kind == "create_table":
                 self._create_table(s)
             elif s.kind == "create_view":
@@ -76,10 +112,13 @@ class Engine:
                     self.frame(s.sql).createOrReplaceTempView(s.name)
             return self.frame(last.sql)
 
-        return View(self.spark, path, sources, build, affected)
+        timed = any(dialect.NOW in s.sql for s in [*before, last])
+        return View(self.spark, path, sources, build, affected, self.now if timed else None)
 
     def frame(self, sql: str) -> DataFrame:
         """A rewritten query; select aliases may appear in WHERE."""
+        if dialect.NOW in sql:
+            sql = sql.replace(dialect.NOW, f"TIMESTAMP_NTZ '{self.now():%Y-%m-%d %H:%M:%S.%f}'")
         for name in re.findall(r"(?i)\b(?:from|join)\s+([A-Za-z_][\w.]*)", sql):
             self._resolve(name)
         try:

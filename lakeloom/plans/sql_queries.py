@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,16 @@ _sql(
 )
 
 
+_CHECKED = """SELECT check_value(c_acctbal, c_acctbal >= 0, 'balance of {c_custkey} is negative', c_custkey) AS balance FROM customer WHERE CHECK_TRUE(c_nationkey % 2 = 0, 'odd nation of {c_custkey}', c_custkey);
+WITH small AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY c_nationkey)
+SELECT nation, CHECK_VALUE(max(n), max(n) % 2 = 0, 'nation {nation}: odd', nation) AS n FROM small WHERE nation > 3 GROUP BY nation"""
+_sql(
+    "sql_check_values",
+    _CHECKED.split(";")[0],
+    "SELECT c_acctbal AS balance FROM customer WHERE c_nationkey % 2 = 0",
+)
+
+
 def _add(oracle: str | None = None):
     def take(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
@@ -144,15 +155,62 @@ def check_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.violations(table(spark, sf_dir, "customer")).select("check", "message")
 
 
+@_add(
+    """SELECT 'odd nation of ' || c_custkey AS message, c_custkey::VARCHAR AS who FROM customer WHERE c_nationkey % 2 = 1
+    UNION ALL SELECT 'balance of ' || c_custkey || ' is negative', c_custkey::VARCHAR FROM customer WHERE c_nationkey % 2 = 0 AND c_acctbal < 0
+    UNION ALL SELECT 'nation ' || c_nationkey || ': odd', c_nationkey::VARCHAR FROM customer WHERE c_acctbal < 0 AND c_nationkey > 3 GROUP BY c_nationkey HAVING count(*) % 2 = 1"""
+)
+def sql_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows and groups that fail the data checks of two statements."""
+    register(spark, sf_dir, ["customer"])
+    settings = {k: spark.conf.get(k) for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone")}
+    try:
+        engine = Engine(spark)
+        engine.sql(_CHECKED)
+        return engine.violations().select("message", F.map_values("tags")[0].alias("who"))
+    finally:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+
+
+@_add("SELECT o_orderkey, datediff('day', o_orderdate::DATE, DATE '1998-09-02')::BIGINT AS days FROM orders WHERE o_orderdate <= TIMESTAMP '1998-09-02 10:00:00'")
+def sql_gettimestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's clock is set; the second reading is within the tick, so the first counts."""
+    register(spark, sf_dir, ["orders"])
+    settings = {k: spark.conf.get(k) for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone")}
+    times = iter([datetime(1998, 9, 2, 10), datetime(1998, 9, 2, 10, 59)])
+    try:
+        engine = Engine(spark, clock=lambda: next(times))
+        engine.now()
+        return engine.query("SELECT o_orderkey, datediff('DAY', o_orderdate, gettimestamp()) AS days FROM orders WHERE o_orderdate <= gettimestamp()")
+    finally:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+
+
 @_add("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) END AS id FROM (SELECT c_custkey, md5(c_name) AS h FROM customer)")
 def guid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(c("c_custkey") % 2 == 0, F.upper(F.md5("c_name"))).otherwise(c("c_name"))
     return table(spark, sf_dir, "customer").select("c_custkey", strings.guid(text).alias("id"))
 
 
-@_add()
+#: Of each nation, by the xxhash library over (key as eight bytes, name) and name.
+_HASHES = """(VALUES
+    (0, 966995755627709633, '57388591-5342-67c2-0225-37ac7cc2486e'), (1, 189211655109771075, '46d2fe89-e446-c6be-b699-33aec6e1d045'), (2, 3787162612412228283, 'f5fc8c97-2b80-f7f6-7e8d-5949a9b12f72'),
+    (3, -7987879249090914122, 'd185b5ec-6e98-6421-3625-c2210aba0c5f'), (4, 1362285735966043858, '5a02605c-d139-a074-bffd-5d1430a7699e'), (5, -1074104026076079642, '86379d16-53a4-222d-5f2c-ec7345dd89de'),
+    (6, -3101446423778394399, '58b6c8e1-b1ae-8da8-a185-2cc9159f5fe5'), (7, -2201725399339888515, '4546574d-9f1a-3352-5fa5-b43380d211af'), (8, 7860267570494139788, 'd7518bf6-2536-e697-1e30-86876d232517'),
+    (9, -5887332904866116552, '1a29715b-e0e5-dc31-a2e5-78d74987b04e'), (10, -5880855144029854532, '1aafc172-c291-42eb-7e25-49f71b0297ea'), (11, 4935735730532634448, 'd42572af-2a14-81e7-c3bf-84bea66969bd'),
+    (12, 1385475138448811901, '77e906d9-93b4-ab83-df7e-7d996f9b0ec1'), (13, 5296532487749057411, '7e29ef6c-1a0e-5132-82e3-77bb4ae02045'), (14, 1239304341873766905, '0e7e7d2b-17d1-2756-8389-0abbc3d10ad2'),
+    (15, 3065105854610438564, 'a6614ccd-bbbf-3b3c-1ba9-647beecebf58'), (16, -5922895969324411908, '45230d82-4df6-70d8-fca8-d29354a626b9'), (17, -5670404874411111689, 'b15cebd4-cd5d-effd-6505-87eb1050acfd'),
+    (18, -7528471689064576088, '83fa8e4e-7d04-5a2f-6da8-2c64e6796536'), (19, 1793948990928197205, '1c69aa16-4d4f-bbfd-aff1-db0db5671b80'), (20, -3533706489213486840, '2ea0026d-b494-d8de-0cc2-595b6a502856'),
+    (21, -8403562760122534551, '3c00c7d5-8ee1-afc6-5907-93253ee86b14'), (22, 8019573985568990467, 'aa0f82a7-09de-e3f5-03b9-3e3e55539602'), (23, -6170266130693923132, '20d04a83-b3e9-26d7-6899-93eae842c910'),
+    (24, 6186681733773701731, 'd8b494f9-a0c7-85f0-3e64-833800f4161a')
+)"""
+
+
+@_add(f"SELECT n.n_nationkey, h64::BIGINT AS h64, h128 FROM nation n LEFT JOIN {_HASHES} h(k, h64, h128) ON n.n_nationkey = k")
 def hash_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bit-exact hashes; SQL has none to compare with, tests hold known values."""
+    """Bit-exact hashes."""
     return table(spark, sf_dir, "nation").select("n_nationkey", hashing.xxhash64(c("n_nationkey").cast("bigint"), c("n_name")).alias("h64"), hashing.xxhash128_guid(c("n_name")).alias("h128"))
 
 

@@ -92,11 +92,13 @@ class View:
     to the result columns that its rows have under the same names: a batch then recomputes only
     the result rows (and reads only source rows) of the keys that changed. Without it the whole
     result is recomputed and compared. ``sources`` gives the primary key of upsert sources, or
-    None for sources that carry weights.
+    None for sources that carry weights. ``clock`` gives the time that the query reads, if it does:
+    when that has moved, all rows may have changed, and a batch without changes is a tick.
     """
 
-    def __init__(self, spark: SparkSession, path: str, sources: dict[str, list[str] | None], build: Callable[[dict[str, DataFrame]], DataFrame], affected: dict[str, list[str]] | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, sources: dict[str, list[str] | None], build: Callable[[dict[str, DataFrame]], DataFrame], affected: dict[str, list[str]] | None = None, clock: Callable[[], object] | None = None) -> None:
         self.spark, self.sources, self.build, self.affected = spark, sources, build, affected or {}
+        self.clock, self._time = clock, None
         self.state = State(spark, path)
 
     def process(self, batch: int, changes: dict[str, DataFrame], deleted: str | None = None) -> DataFrame | None:
@@ -116,6 +118,8 @@ class View:
             return None
         before = self.state.rows("result")
         keys = self._changed_keys(deltas)
+        if self.clock is not None and self.clock() != self._time:
+            self._time, keys = self.clock(), None
         if before is None or keys is None:
             result = self.build({n: apply(None, t) for n, t in now.items()})
             out = result.withColumn(WEIGHT, F.lit(1)) if before is None else differences(apply(None, before), result)

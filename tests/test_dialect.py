@@ -111,3 +111,71 @@ def test_udfs(engine, spark):
     engine.function("middle", middle)
     assert rows(engine.query("SELECT doubled(id) AS x FROM users")) == [(2,), (4,), (6,)]
     assert rows(engine.query("SELECT middle(id) AS m FROM users")) == [(2.0,)]
+
+
+def test_data_checks_have_effects(spark):
+    engine = Engine(spark)
+    spark.createDataFrame([(1, 5, 3), (2, 1, 3), (3, None, 3)], "k int, a int, b int").createOrReplaceTempView("pairs")
+    out = engine.sql("SELECT k, CHECK_VALUE(a, a < b, 'a is {a}, b is {b} {c}', a, pairs.b) AS v FROM pairs WHERE k < 3")
+    assert rows(out[0]) == [(1, 5), (2, 1)]
+    assert [(r["message"], r["tags"]) for r in engine.violations().collect()] == [("a is 5, b is 3 {c}", {"a": "5", "b": "3"})]
+    out = engine.sql("SELECT k FROM pairs WHERE CHECK_TRUE(a < b, 'bad {k}', k)")
+    assert rows(out[0]) == [(2,)]
+    assert sorted(r["message"] for r in engine.violations().collect()) == ["bad 1", "bad 3"]
+    engine.sql("WITH big AS (SELECT b, CHECK_VALUE(count(*), count(*) < 3, 'many {b}', b) AS n FROM pairs GROUP BY b) SELECT * FROM big; SELECT k FROM (SELECT k, CHECK_TRUE(k <> 2, 'two') AS ok FROM pairs) WHERE ok")
+    assert sorted(r["message"] for r in engine.violations().collect()) == ["many 3", "two"]
+    engine.sql("SELECT k FROM pairs")
+    assert engine.violations().count() == 0
+    with pytest.raises(dialect.DialectError):
+        engine.sql("SELECT x.k FROM pairs x JOIN pairs y ON CHECK_TRUE(x.k = y.k, 'no')")
+
+
+def test_gettimestamp_ticks(spark, tmp_path):
+    import datetime
+
+    times = [datetime.datetime(2024, 1, 1, 12, 0)]
+    engine = Engine(spark, clock=lambda: times[-1], tick=60)
+    read = lambda: engine.query("SELECT gettimestamp() AS now").first()["now"]
+    assert read() == times[0] and engine.query("SELECT gettimestamp() AS now").schema["now"].dataType.simpleString() == "timestamp_ntz"
+    times.append(times[0] + datetime.timedelta(seconds=59))
+    assert read() == times[0]
+    times.append(times[0] + datetime.timedelta(seconds=61))
+    assert read() == times[2]
+    view = engine.maintain("SELECT k FROM due WHERE at <= gettimestamp()", {"due": ["k"]}, f"file://{tmp_path}/v", affected={"due": ["k"]})
+    at = lambda s: times[2] + datetime.timedelta(seconds=s)
+    view.process(0, {"due": spark.createDataFrame([(1, at(-5)), (2, at(100))], "k int, at timestamp_ntz")})
+    assert rows(view.result()) == [(1,)]
+    times.append(at(120))
+    assert rows(view.process(1, {})) == [(2, 1)] and rows(view.result()) == [(1,), (2,)]
+    assert rows(view.process(2, {})) == []
+
+
+def test_registered_expressions(spark):
+    engine = Engine(spark)
+    engine.expression("twice_of", lambda x: f"(2 * ({x}))")
+    engine.expression("spread_of", lambda a, f: f"(max({a[0]}){f} - min({a[0]}){f})", "aggregate")
+    engine.expression("share_of", lambda a, spec: f"({a[0]} / sum({a[0]}) OVER ({spec}))", "window")
+    spark.createDataFrame([("a", 1), ("a", 3), ("b", 4)], "g string, n int").createOrReplaceTempView("few")
+    assert rows(engine.query("SELECT g, twice_of(spread_of(n) FILTER (WHERE n < 4)) AS s FROM few GROUP BY g")) == [("a", 4), ("b", None)]
+    assert rows(engine.query("SELECT g, share_of(n) OVER (PARTITION BY g) AS s FROM few")) == [("a", 0.25), ("a", 0.75), ("b", 1.0)]
+
+
+def test_window_function_from_python(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("double")
+    def middle(x: pd.Series) -> float:
+        return float(x.median())
+
+    engine = Engine(spark)
+    engine.function("middle", middle)
+    spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 2), ("a", 8.0, 3), ("b", 4.0, 1)], "g string, n double, t int").createOrReplaceTempView("few")
+    got = rows(engine.query("SELECT g, t, middle(n) OVER (PARTITION BY g ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM few"))
+    assert got == [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 3.0), ("b", 1, 4.0)]
+
+
+def test_substreams_are_run_by_name(spark):
+    sql = "SELECT 0 AS x; SUBSTREAM one; SELECT 1 AS x; SUBSTREAM two; SELECT 2 AS x"
+    xs = lambda e: [df.first()[0] for df in e.sql(sql)]
+    assert xs(Engine(spark)) == [0, 1, 2] and xs(Engine(spark, substream="One")) == [0, 1] and xs(Engine(spark, substream="two")) == [0, 2]
