@@ -13,7 +13,7 @@ from lakeloom.functions import checks, hashing, strings
 from lakeloom.operators import joins
 from lakeloom.operators.recursion import shared_folder
 from lakeloom.plans.engine import Engine
-from lakeloom.session import register, table
+from lakeloom.session import register, settings_kept, table
 from lakeloom.sources import permissions
 from lakeloom.streaming.views import KeyedSink, View
 
@@ -26,12 +26,8 @@ _BUCKET = "time_bucket(INTERVAL {n} MINUTE, ts, TIMESTAMP '0001-01-01')"
 def _sql(name: str, text: str, oracle: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir, [t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings") if t in text])
-        settings = {k: spark.conf.get(k) for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone")}
-        try:
+        with settings_kept(spark):
             return Engine(spark).query(text)
-        finally:
-            for k, v in settings.items():
-                spark.conf.set(k, v)
 
     QUERIES[name], ORACLES[name] = run, oracle
 
@@ -163,29 +159,21 @@ def check_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows and groups that fail the data checks of two statements."""
     register(spark, sf_dir, ["customer"])
-    settings = {k: spark.conf.get(k) for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone")}
-    try:
+    with settings_kept(spark):
         engine = Engine(spark)
         engine.sql(_CHECKED)
         return engine.violations().select("message", F.map_values("tags")[0].alias("who"))
-    finally:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
 
 
 @_add("SELECT o_orderkey, datediff('day', o_orderdate::DATE, DATE '1998-09-02')::BIGINT AS days FROM orders WHERE o_orderdate <= TIMESTAMP '1998-09-02 10:00:00'")
 def sql_gettimestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The engine's clock is set; the second reading is within the tick, so the first counts."""
     register(spark, sf_dir, ["orders"])
-    settings = {k: spark.conf.get(k) for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone")}
     times = iter([datetime(1998, 9, 2, 10), datetime(1998, 9, 2, 10, 59)])
-    try:
+    with settings_kept(spark):
         engine = Engine(spark, clock=lambda: next(times))
         engine.now()
         return engine.query("SELECT o_orderkey, datediff('DAY', o_orderdate, gettimestamp()) AS days FROM orders WHERE o_orderdate <= gettimestamp()")
-    finally:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
 
 
 @_add("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) END AS id FROM (SELECT c_custkey, md5(c_name) AS h FROM customer)")

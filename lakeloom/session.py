@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,6 +30,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def settings_kept(spark: SparkSession) -> Iterator[None]:
+    """Put the session's settings back that `configure` changes."""
+    before = {k: spark.conf.get(k) for k in SETTINGS}
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a directory; only the columns used are read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

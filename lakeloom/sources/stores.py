@@ -1,20 +1,25 @@
-"""Databases and services: requests are built per batch of rows and sent by executors.
+"""Databases and services: requests are built per batch of rows and sent, or fetched, by executors.
 
 Sinks are given weighted changes or plain rows: rows of weight above 0 are upserted by primary
 key, the others deleted. Each format function turns one batch into requests (method, path, body);
-``send`` is a picklable callable of those, so any HTTP client can be used.
+``send`` is a picklable callable of those, so any HTTP client can be used. Sources get a picklable
+``fetch`` that returns the answer of a request.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.sources import generic
+
 Request = tuple[str, str, str]
 Rows = list[dict[str, Any]]
 
@@ -149,6 +154,135 @@ def permify(tenant: str) -> Callable[[Rows, Rows], list[Request]]:
     return build
 
 
+# reading services: pages are fetched by executors, one task per part of the service
+
+
+Fetch = Callable[[Request], str]
+
+
+def _pages(fetch: Fetch, first: Request, following: Callable[[dict, Request], "Request | None"]) -> Iterator[dict]:
+    request: Request | None = first
+    while request is not None:
+        page = json.loads(fetch(request) or "{}")
+        yield page
+        request = following(page, request)
+
+
+def sharepoint_source(spark: SparkSession, list_name: str, schema: str, fetch: Fetch, since: str | None = None) -> DataFrame:
+    """The items of a list: id, the fields of ``schema`` and _weight (-1 for items deleted since).
+
+    ``since`` is the link for changes that `sharepoint_token` gave; without it all items are read.
+    """
+    first = since or f"/lists/{list_name}/items/delta?expand=fields"
+
+    def read(_: int) -> Iterator[tuple]:
+        for page in _pages(fetch, ("GET", first, ""), lambda p, r: ("GET", p["@odata.nextLink"], "") if p.get("@odata.nextLink") else None):
+            for item in page.get("value", []):
+                yield str(item["id"]), _json(item.get("fields") or {}), -1 if "deleted" in item else 1
+
+    raw = generic.object_source(spark, f"sharepoint_{_name(list_name)}", "id string, fields string, _weight int", read)
+    return raw.select("id", F.from_json("fields", schema).alias("_f"), "_weight").select("id", "_f.*", "_weight")
+
+
+def sharepoint_token(list_name: str, fetch: Fetch, since: str | None = None) -> str | None:
+    """The link from which later changes of a list can be read."""
+    last: dict = {}
+    for last in _pages(fetch, ("GET", since or f"/lists/{list_name}/items/delta?expand=fields", ""), lambda p, r: ("GET", p["@odata.nextLink"], "") if p.get("@odata.nextLink") else None):
+        pass
+    return last.get("@odata.deltaLink")
+
+
+_TUPLE = "user_type string, user_id string, user_relation string, relation string, object_type string, object_id string"
+
+
+def openfga_source(spark: SparkSession, store: str, fetch: Fetch, types: list[str] | None = None, changes: bool = False, page: int = 100) -> DataFrame:
+    """Relationship tuples; with ``changes`` all changes in order (_no within a type) with _weight.
+
+    Each object type of ``types`` is read by a task of its own; without types one task reads all.
+    """
+
+    def split(key: dict) -> tuple:
+        user, _, relation = key["user"].partition("#")
+        kind, _, name = user.partition(":")
+        object_type, _, object_id = key["object"].partition(":")
+        return kind, name, relation or None, key["relation"], object_type, object_id
+
+    def read(part: int) -> Iterator[tuple]:
+        kind = types[part] if types else None
+        if changes:
+            at = lambda token: ("GET", f"/stores/{store}/changes?page_size={page}" + (f"&type={kind}" if kind else "") + (f"&continuation_token={token}" if token else ""), "")
+            number = 0
+            for p in _pages(fetch, at(""), lambda p, r: at(p["continuation_token"]) if p.get("continuation_token") and p.get("changes") else None):
+                for c in p.get("changes", []):
+                    yield *split(c["tuple_key"]), number, -1 if c["operation"].endswith("DELETE") else 1
+                    number += 1
+            return
+        body = {"page_size": page} | ({"tuple_key": {"object": f"{kind}:"}} if kind else {})
+        path = f"/stores/{store}/read"
+        for p in _pages(fetch, ("POST", path, _json(body)), lambda p, r: ("POST", path, _json(body | {"continuation_token": p["continuation_token"]})) if p.get("continuation_token") else None):
+            for t in p.get("tuples", []):
+                yield split(t["key"])
+
+    more = ", _no bigint, _weight int" if changes else ""
+    return generic.object_source(spark, f"openfga_{_name(store)}{'_changes' if changes else ''}", _TUPLE + more, read, len(types) if types else 1)
+
+
+_RELATIONSHIP = "resource_type string, resource_id string, relation string, subject_type string, subject_id string, subject_relation string"
+
+
+def spicedb_source(spark: SparkSession, types: list[str], fetch: Fetch, page: int = 1000) -> DataFrame:
+    """Relationships of resource ``types``, each read by a task of its own, page by page.
+
+    An answer has one JSON object per line; the last one's cursor begins the next page.
+    """
+
+    def read(part: int) -> Iterator[tuple]:
+        cursor = None
+        while True:
+            body = {"relationshipFilter": {"resourceType": types[part]}, "optionalLimit": page} | ({"optionalCursor": {"token": cursor}} if cursor else {})
+            lines = [json.loads(x)["result"] for x in fetch(("POST", "/v1/relationships/read", _json(body))).splitlines() if x.strip()]
+            for x in lines:
+                r = x["relationship"]
+                s = r["subject"]
+                yield r["resource"]["objectType"], r["resource"]["objectId"], r["relation"], s["object"]["objectType"], s["object"]["objectId"], s.get("optionalRelation") or None
+            cursor = (lines[-1].get("afterResultCursor") or {}).get("token") if len(lines) >= page else None
+            if not cursor:
+                return
+
+    return generic.object_source(spark, f"spicedb_{_name('_'.join(types))}", _RELATIONSHIP, read, len(types))
+
+
+def permify_source(spark: SparkSession, tenant: str, types: list[str], fetch: Fetch, page: int = 100) -> DataFrame:
+    """Relationships of entity ``types``, each read by a task of its own, page by page."""
+    path = f"/v1/tenants/{tenant}/data/relationships/read"
+
+    def read(part: int) -> Iterator[tuple]:
+        body = {"metadata": {"snap_token": ""}, "filter": {"entity": {"type": types[part], "ids": []}}, "page_size": page}
+        for p in _pages(fetch, ("POST", path, _json(body)), lambda p, r: ("POST", path, _json(body | {"continuous_token": p["continuous_token"]})) if p.get("continuous_token") else None):
+            for t in p.get("tuples", []):
+                yield t["entity"]["type"], t["entity"]["id"], t["relation"], t["subject"]["type"], t["subject"]["id"], t["subject"].get("relation") or None
+
+    return generic.object_source(spark, f"permify_{_name(tenant)}", _RELATIONSHIP, read, len(types))
+
+
+def _name(text: str) -> str:
+    return re.sub(r"\W", "_", text)
+
+
+def http_fetcher(base: str, headers: dict[str, str] | None = None) -> Fetch:
+    """Fetches with the standard library; a link that is complete is followed as it is."""
+
+    def fetch(request: Request) -> str:
+        import urllib.request
+
+        method, path, body = request
+        url = path if "://" in path else base + path
+        with urllib.request.urlopen(urllib.request.Request(url, body.encode() or None, {"Content-Type": "application/json"} | (headers or {}), method=method), timeout=60) as answer:
+            return answer.read().decode()
+
+    return fetch
+
+
 def http_sender(base: str, headers: dict[str, str] | None = None) -> Callable[[Request], None]:
     """Sends requests with the standard library."""
 
@@ -164,8 +298,7 @@ def http_sender(base: str, headers: dict[str, str] | None = None) -> Callable[[R
 
 def batches(rows: Iterator, size: int) -> Iterator[tuple[Rows, Rows]]:
     upserts, deletes = [], []
-    for r in rows:
-        d = r.asDict(True)
+    for d in rows:
         (upserts if d.pop("_weight", 1) > 0 else deletes).append(d)
         if len(upserts) + len(deletes) >= size:
             yield upserts, deletes
@@ -174,18 +307,36 @@ def batches(rows: Iterator, size: int) -> Iterator[tuple[Rows, Rows]]:
         yield upserts, deletes
 
 
+def net_changes(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key: of weighted changes, deletes of rows that are replaced are left out."""
+    if "_weight" not in df.columns:
+        return df
+    best = df.groupBy(*key).agg(F.max_by(F.struct(*[c for c in df.columns if c not in key]), "_weight").alias("_r"))
+    return best.select(*key, "_r.*").select(*df.columns)
+
+
+def requests(df: DataFrame, build: Callable[[Rows, Rows], list[Request]], key: list[str], size: int = 1000) -> DataFrame:
+    """The requests (method, path, body) that `send_changes` would send."""
+
+    def run(frames: Iterator) -> Iterator:
+        rows = (r for batch in frames for r in batch.to_pylist())
+        for up, down in batches(rows, size):
+            out = build(up, down)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(("method", "path", "body"), r)) for r in out], pa.schema([(n, pa.string()) for n in ("method", "path", "body")]))
+
+    return net_changes(df, key).mapInArrow(run, "method string, path string, body string")
+
+
 def send_changes(df: DataFrame, build: Callable[[Rows, Rows], list[Request]], send: Callable[[Request], None], key: list[str], size: int = 1000) -> None:
-    """Send every row from the executors, the rows of one key by one task, deletes of replaced rows left out."""
-    if "_weight" in df.columns:
-        best = df.groupBy(*key).agg(F.max_by(F.struct(*[c for c in df.columns if c not in key]), "_weight").alias("_r"))
-        df = best.select(*key, "_r.*").select(*df.columns)
+    """Send every row from the executors, the rows of one key by one task."""
 
     def run(rows: Iterator) -> None:
-        for up, down in batches(rows, size):
+        for up, down in batches((r.asDict(True) for r in rows), size):
             for request in build(up, down):
                 send(request)
 
-    df.foreachPartition(run)
+    net_changes(df, key).foreachPartition(run)
 
 
 # Kafka and JDBC, by Spark's own formats

@@ -97,3 +97,27 @@ def test_sql_view(spark, tmp_path):
     out = view.process(1, {"visits": visits((4, 1, at(10)))})
     assert rows(out) == sorted([("ann", at(0), 1, -1), ("ann", at(20), 1, -1), ("ann", at(0), 3, 1)], key=repr)
     assert rows(view.result()) == [("ann", at(0), 3), ("bob", at(5), 1)]
+
+
+def test_exchange_is_pulled_by_bucket(spark, tmp_path):
+    import pytest
+
+    from lakeloom.streaming.exchange import Exchange
+
+    ex = Exchange(spark, f"file://{tmp_path}/ex", 3)
+    with pytest.raises(LookupError):
+        ex.pull(0, -1)
+    part = lambda lo, hi: spark.range(lo, hi).selectExpr("id", "id % 5 AS k")
+    ex.publish(0, part(0, 20), "scatter", ["k"])
+    ex.publish(0, part(0, 999), "scatter", ["k"])  # a replay
+    ex.publish(1, part(20, 30), "scatter", ["k"])
+    got = [ex.pull(b, -1) for b in range(3)]
+    assert [at for _, at in got] == [1, 1, 1] and sorted(r[0] for df, _ in got for r in df.collect()) == list(range(30))
+    keys = [{r[1] for r in df.collect()} for df, _ in got]
+    assert sum(map(len, keys)) == 5
+    ex.publish(2, part(30, 31), "single")
+    assert [ex.pull(b, 1)[0].count() for b in range(3)] == [1, 0, 0] and ex.pull(2, 2)[1] == 2
+    with pytest.raises(ValueError):
+        ex.publish(3, spark.range(1))
+    ex.release(1)
+    assert sum(ex.pull(b, -1)[0].count() for b in range(3)) == 1
