@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeloom.plans import dialect
 from lakeloom.session import configure
 from lakeloom.sources.registry import Registry
+from lakeloom.streaming.incremental import IncrementalView, shape_of
 from lakeloom.streaming.views import View
 
 
@@ -100,9 +101,15 @@ class Engine:
         """A view that keeps the last query of ``text`` up to date as its sources change.
 
         ``sources`` names the tables that change with their primary keys (None: they carry
-        weights); ``path`` holds the state. Feed it with `View.process` or `View.start`.
+        weights); ``path`` holds the state. Feed it with `View.process` or `View.start`. Joins,
+        filters and a grouping are maintained from the changes alone (see `incremental`); for others
+        ``affected`` tells which result columns a source's rows have, so that only their rows are
+        computed again.
         """
         *before, last = dialect.statements(text)
+        shape = shape_of(last.sql, list(sources), [s.name for s in before if s.kind == "create_view"]) if affected is None else None
+        if shape is not None:
+            return IncrementalView(self.spark, path, sources, shape, self._table)
 
         def build(tables: dict[str, DataFrame]) -> DataFrame:
             for name, df in tables.items():
@@ -129,6 +136,10 @@ class Engine:
                 raise
             return self.spark.sql(moved)
 
+    def _table(self, name: str) -> DataFrame:
+        self._resolve(name)
+        return self.spark.table(name)
+
     def _resolve(self, name: str) -> None:
         """Make a registry table readable by name."""
         view = name.replace(".", "_") if "." in name else name

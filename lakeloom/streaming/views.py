@@ -47,10 +47,14 @@ class State:
     def commit(self, batch: int) -> None:
         self._fs.create(self._p(f"commits/{batch}")).close()
 
-    def append(self, name: str, batch: int, df: DataFrame) -> DataFrame:
-        """Write one batch's rows; they count once the batch is committed."""
+    def names(self) -> list[str]:
+        """The logs that there are."""
+        return sorted(n for n in (f.getPath().getName() for f in self._fs.listStatus(self._p(""))) if n != "commits" and self._fs.exists(self._p(f"{n}/log")))
+
+    def append(self, name: str, batch: int, df: DataFrame, by: list[str] | None = None) -> DataFrame:
+        """Write one batch's rows, in folders ``by`` columns; they count once the batch is committed."""
         at = f"{self.path}/{name}/log/{batch}"
-        df.write.mode("overwrite").parquet(at)
+        (df.repartition(*by).write.partitionBy(*by) if by else df.write).mode("overwrite").parquet(at)
         if not self._fs.exists(self._p(f"{name}/schema")):
             self.spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.text(f"{self.path}/{name}/schema")
         return self.spark.read.schema(df.schema).parquet(at)
@@ -64,9 +68,15 @@ class State:
         if not paths:
             return None
         schema = StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/{name}/schema").first()[0]))
-        return self.spark.read.schema(schema).parquet(*paths)
+        if "_bucket" not in schema.names:
+            return self.spark.read.schema(schema).parquet(*paths)
+        out = None  # folders by bucket in every path, at most COMPACT paths and a base
+        for p in paths:
+            part = self.spark.read.schema(schema).parquet(p)
+            out = part if out is None else out.unionByName(part)
+        return out
 
-    def compact(self, name: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    def compact(self, name: str, merge: Callable[[DataFrame], DataFrame], by: list[str] | None = None) -> None:
         """Merge a log that has grown long; the base before it and its batches are then deleted.
 
         Runs after a commit. A failure in between leaves the old base and logs in use.
@@ -76,7 +86,8 @@ class State:
         if len([b for b in logs if b > max(bases, default=-1)]) < COMPACT:
             return
         target = f"{self.path}/{name}/base"
-        merge(self.rows(name)).write.mode("overwrite").parquet(f"{target}/_merging")
+        merged = merge(self.rows(name))
+        (merged.repartition(*by).write.partitionBy(*by) if by else merged.write).mode("overwrite").parquet(f"{target}/_merging")
         self._fs.rename(self._p(f"{name}/base/_merging"), self._p(f"{name}/base/{last}"))
         for old in bases:
             self._fs.delete(self._p(f"{name}/base/{old}"), True)
