@@ -23,7 +23,7 @@ BUCKETS = 1 << 14
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (3, 1, 2)
 #: Signs that prose has few of.
-SIGNS = "|*#%&$~^=_<>{}[]@/+0123456789"
+SIGNS = r"[|*#%&$~^=_<>{}\[\]@/+0-9]+"
 
 
 def word_count(text: Column) -> Column:
@@ -41,7 +41,7 @@ def text_quality(text: Column, size: Column) -> Column:
     1 / (1 + 8 signs per word + distance of the mean word length, blanks included, from 6 by 6).
     """
     text, words = F.coalesce(text, F.lit("")), F.greatest(size, F.lit(1))
-    signs = F.length(text) - F.length(F.translate(text, SIGNS, ""))
+    signs = F.length(text) - F.length(F.regexp_replace(text, SIGNS, ""))
     return 1 / (1 + 8 * signs / words + F.abs(F.length(text) / words - 6) / 6)
 
 
