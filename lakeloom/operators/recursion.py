@@ -5,12 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 _paths: list = []
 
 
@@ -54,21 +53,27 @@ def iterate(start: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     but not iterated further (the skip condition).
     """
     new = written(start.distinct() if distinct else start, "iteration")
-    parts, rounds = [new], 0
+    parts, rounds = [(new, 0)], 0
     while (max_iterations is None or rounds < max_iterations) and not new.isEmpty():
         more = step(until(new) if until else new)
         if distinct:
             names = keys or more.columns
-            seen = parts[0]
-            for p in parts[1:]:
-                seen = seen.unionByName(p)
+            seen = _union(p for p, _ in parts)
             more = more.dropDuplicates(names)
             condition = [more[c].eqNullSafe(F.col(f"_s_{c}")) for c in names]
             more = more.join(seen.select(*[F.col(c).alias(f"_s_{c}") for c in names]), condition, "left_anti")
         new = written(more.select(*start.columns), "iteration")
-        parts.append(new)
+        parts.append((new, 0))
+        # as in a binary counter: there are as many tables as the number of rounds has digits
+        while len(parts) > 1 and parts[-1][1] == parts[-2][1]:
+            (a, level), (b, _) = parts[-2:]
+            parts[-2:] = [(written(a.unionByName(b), "iteration"), level + 1)]
         rounds += 1
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    return _union(p for p, _ in parts)
+
+
+def _union(frames: Iterable[DataFrame]) -> DataFrame:
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeloom.plans import dialect
 from lakeloom.session import configure
 from lakeloom.sources.registry import Registry
-from lakeloom.streaming.incremental import IncrementalView, shape_of
+from lakeloom.streaming.incremental import BUCKETS, IncrementalView, shape_of
 from lakeloom.streaming.views import View
 
 
@@ -97,19 +97,19 @@ class Engine:
         """The frame of the last query."""
         return self.sql(text)[-1]
 
-    def maintain(self, text: str, sources: dict[str, list[str] | None], path: str, affected: dict[str, list[str]] | None = None) -> View:
+    def maintain(self, text: str, sources: dict[str, list[str] | None], path: str, affected: dict[str, list[str]] | None = None, buckets: int = BUCKETS) -> View:
         """A view that keeps the last query of ``text`` up to date as its sources change.
 
         ``sources`` names the tables that change with their primary keys (None: they carry
         weights); ``path`` holds the state. Feed it with `View.process` or `View.start`. Joins,
-        filters and a grouping are maintained from the changes alone (see `incremental`); for others
-        ``affected`` tells which result columns a source's rows have, so that only their rows are
-        computed again.
+        filters and a grouping are maintained from the changes alone, and a batch reads only some of
+        the state's ``buckets`` (see `incremental`). For other queries ``affected`` may tell which
+        result columns a source's rows have, so that only their rows are computed again.
         """
         *before, last = dialect.statements(text)
         shape = shape_of(last.sql, list(sources), [s.name for s in before if s.kind == "create_view"]) if affected is None else None
         if shape is not None:
-            return IncrementalView(self.spark, path, sources, shape, self._table)
+            return IncrementalView(self.spark, path, sources, shape, self._table, buckets)
 
         def build(tables: dict[str, DataFrame]) -> DataFrame:
             for name, df in tables.items():

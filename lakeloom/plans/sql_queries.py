@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import checks, hashing, strings
-from lakeloom.operators import joins
+from lakeloom.operators import joins, sets
 from lakeloom.operators.recursion import shared_folder
+from lakeloom.plans import samples
 from lakeloom.plans.engine import Engine
 from lakeloom.session import register, settings_kept, table
 from lakeloom.sources import permissions
+from lakeloom.sources.registry import Registry
+from lakeloom.streaming.stateful import stateful_aggregate
 from lakeloom.streaming.views import KeyedSink, View
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +85,15 @@ _sql(
 )
 
 
+_sql("sql_comma_join", "SELECT n_name, r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey AND r.r_name <> n.n_name", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> n_name")
+_sql("sql_without_from", "SELECT 1 + 1 AS two, 'x' AS letter", "SELECT 2 AS two, 'x' AS letter")
+_sql("sql_limit", "SELECT o_orderkey, twice FROM (SELECT o_orderkey, o_custkey * 2 AS twice FROM orders WHERE o_custkey > 5) d ORDER BY twice DESC, o_orderkey LIMIT 40", "SELECT o_orderkey, o_custkey * 2 AS twice FROM orders WHERE o_custkey > 5 ORDER BY twice DESC, o_orderkey LIMIT 40")
+_sql("sql_values", "SELECT n_name, v.col2 AS label FROM nation n JOIN (VALUES (1, 'one'), (2, 'two')) v ON v.col1 = n.n_regionkey", "SELECT n_name, label FROM nation JOIN (VALUES (1, 'one'), (2, 'two')) v(k, label) ON k = n_regionkey")
+_sql(
+    "sql_strings",
+    "SELECT c_custkey, to_string(c_acctbal) AS shown, to_string(c_custkey % 2 * 1.5) AS half, regexp_string_split(c_name, '[#_ ]') AS parts, string_join('-', list(c_name, NULL, c_mktsegment)) AS joined FROM customer",
+    "SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) THEN floor(c_acctbal)::BIGINT::VARCHAR ELSE c_acctbal::VARCHAR END AS shown, CASE WHEN c_custkey % 2 = 0 THEN '0.0' ELSE '1.5' END AS half, regexp_split_to_array(c_name, '[#_ ]') AS parts, c_name || '-' || c_mktsegment AS joined FROM customer",
+)
 _CHECKED = """SELECT check_value(c_acctbal, c_acctbal >= 0, 'balance of {c_custkey} is negative', c_custkey) AS balance FROM customer WHERE CHECK_TRUE(c_nationkey % 2 = 0, 'odd nation of {c_custkey}', c_custkey);
 WITH small AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY c_nationkey)
 SELECT nation, CHECK_VALUE(max(n), max(n) % 2 = 0, 'nation {nation}: odd', nation) AS n FROM small WHERE nation > 3 GROUP BY nation"""
@@ -213,3 +225,92 @@ def permission_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda obj, kind, sub, rel: o.select(F.lit("group").alias("object_type"), obj.cast("string").alias("object_id"), F.lit("member").alias("relation"), F.lit(kind).alias("subject_type"), sub.cast("string").alias("subject_id"), F.lit(rel).cast("string").alias("subject_relation"))
     parents = row(F.floor(c("o_orderkey") / 2), "group", c("o_orderkey"), "member").filter("object_id >= 1")
     return permissions.materialize_permission(row(c("o_orderkey"), "user", c("o_custkey"), None).unionByName(parents), {}, "group", "member")
+
+
+@_add("SELECT o_custkey, count(*) AS n, sum(o_orderkey)::BIGINT AS total, max(o_totalprice) AS most FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey > 3 AND o_orderkey % 9 <> 0 GROUP BY o_custkey HAVING count(*) > 2")
+def incremental_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL that is maintained from the changes alone, over three batches; the last one deletes."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    with settings_kept(spark):
+        sql = "SELECT o.o_custkey AS o_custkey, count(*) AS n, sum(o.o_orderkey) AS total, max(o_totalprice) AS most FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c_nationkey > 3 GROUP BY o.o_custkey HAVING count(*) > 2"
+        view = Engine(spark).maintain(sql, {"orders": ["o_orderkey"], "customer": ["c_custkey"]}, f"{shared_folder(spark)}/view-{uuid.uuid4().hex}")
+        for i, part in enumerate(_batches(orders, "o_orderkey", 2)):
+            view.process(i, {"orders": part} | ({"customer": customers} if i == 0 else {}))
+        view.process(2, {"orders": orders.filter("o_orderkey % 9 = 0").withColumn("gone", F.lit(True))}, deleted="gone")
+        return view.result()
+
+
+@_add("SELECT time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '0001-01-01') AS window_start, count(*) AS n FROM events GROUP BY 1")
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows take late rows: even events come last, and change the windows that the others made."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    with settings_kept(spark):
+        sql = "SELECT window_start, count(*) AS n FROM events e INNER JOIN tumbling_window(e.ts, 60, 'MINUTE') GROUP BY window_start"
+        view = Engine(spark).maintain(sql, {"events": ["event_id"]}, f"{shared_folder(spark)}/view-{uuid.uuid4().hex}")
+        view.process(0, {"events": events.filter("event_id % 2 = 1")})
+        view.process(1, {"events": events.filter("event_id % 2 = 0")})
+        return view.result()
+
+
+@_add("SELECT user_id, sum(event_id)::BIGINT AS total FROM events GROUP BY user_id")
+def stream_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view fed from a stream that is stopped and started again: every row counts once."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    view = View(spark, f"{at}/state", {"events": ["event_id"]}, lambda t: t["events"].groupBy("user_id").agg(F.sum("event_id").alias("total")), affected={"events": ["user_id"]})
+    for half in (0, 1):
+        events.filter(c("event_id") % 2 == half).write.parquet(f"{at}/in/{half}")
+        view.start("events", spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in"), f"{at}/checkpoint").awaitTermination()
+    return view.result()
+
+
+@_add("SELECT user_id, count(*) AS n, max(value) - min(value) AS spread FROM events GROUP BY user_id")
+def stateful_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate function with a state of its own: rows seen, least and greatest value."""
+
+    def step(state, rows):
+        return int(state[0] + len(rows)), float(min(state[1], rows["value"].min())), float(max(state[2], rows["value"].max()))
+
+    events = table(spark, sf_dir, "events").select("user_id", "value")
+    return stateful_aggregate(events, ["user_id"], (0, float("inf"), float("-inf")), step, lambda s: (s[0], s[2] - s[1]), "n bigint, spread double", "n bigint, lo double, hi double")
+
+
+@_add(
+    """SELECT c_custkey, c_custkey * 2 AS twice, upper(c_name) AS loud, bal, word FROM
+    (SELECT c_custkey, c_name, max(c_custkey) OVER (PARTITION BY c_nationkey)::BIGINT AS bal, unnest(string_split(c_mktsegment, 'I')) AS word FROM customer)"""
+)
+def python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar functions by row and by batch, an aggregate function over a window and a table function, by name in SQL."""
+    register(spark, sf_dir, ["customer"])
+    with settings_kept(spark):
+        engine = Engine(spark)
+        for f in (samples.twice_py, samples.loud_py, samples.most_py):
+            engine.function(f.__name__, f)
+        engine.function("cut_py", samples.CutPy)
+        return engine.query(
+            """SELECT c_custkey, twice_py(c_custkey) AS twice, loud_py(c_name) AS loud, bal, word
+            FROM (SELECT c_custkey, c_name, c_mktsegment, most_py(c_custkey) OVER (PARTITION BY c_nationkey) AS bal FROM customer) m, LATERAL cut_py(m.c_mktsegment, 'I')"""
+        )
+
+
+@_add("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 4 <> 3")
+def insert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE TABLE and INSERT with a primary key: the sink keeps one row per key, deletes included."""
+    register(spark, sf_dir, ["supplier"])
+    sink = KeyedSink(spark, f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}", ["s_suppkey"])
+    batch = iter(range(9))
+    weighted = lambda df: df if "_weight" in df.columns else df.withColumn("_weight", F.lit(1))
+    registry = Registry().add_sink("out", lambda s, name, df, key, overwrite: sink(weighted(df), next(batch)))
+    with settings_kept(spark):
+        Engine(spark, registry).sql(
+            """CREATE TABLE out (s_suppkey INT, s_nationkey INT);
+            INSERT INTO out (s_suppkey, s_nationkey) PRIMARY KEY (s_suppkey) SELECT s_suppkey, -1 FROM supplier;
+            INSERT INTO out PRIMARY KEY (s_suppkey) SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 4 = 3 THEN -1 ELSE 1 END AS _weight FROM supplier"""
+        )
+    return sink.rows()
+
+
+@_add("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 30")
+def fetch_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.fetch(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 30, F.asc("o_totalprice"))

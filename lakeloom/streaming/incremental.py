@@ -24,8 +24,8 @@ from lakeloom.plans import dialect
 from lakeloom.streaming.changes import WEIGHT, upserts_to_changes
 from lakeloom.streaming.views import View
 
-#: Buckets of a log.
-BUCKETS = 64
+#: Buckets of a new view's logs: files that a batch writes at most, and what a key's share of the state is.
+BUCKETS = 16
 LINEAR, ORDERED = ("count", "sum", "avg"), ("min", "max")
 _NAME = re.compile(r"[A-Za-z_][\w]*")
 _WORDS = set("AND OR NOT CASE WHEN THEN ELSE END AS CAST IS NULL TRUE FALSE BETWEEN LIKE RLIKE IN BIGINT INT DOUBLE STRING DECIMAL DATE TIMESTAMP TIMESTAMP_NTZ BOOLEAN INTERVAL".split())
@@ -134,23 +134,25 @@ def _replaced(text: str, shape: Shape) -> str | None:
     return "".join(out)
 
 
-def _bucket(*columns: Column) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
-
-
 class IncrementalView(View):
     """A `View` whose batches read only the buckets of the keys that changed.
 
+    ``buckets`` holds for a new state; one that is there keeps its number.
+
     Sums of doubles depend on the order of additions as in any system; decimals and integers don't.
     """
 
-    def __init__(self, spark: SparkSession, path: str, sources: dict[str, list[str] | None], shape: Shape, table: Callable[[str], DataFrame]) -> None:
+    def __init__(self, spark: SparkSession, path: str, sources: dict[str, list[str] | None], shape: Shape, table: Callable[[str], DataFrame], buckets: int = BUCKETS) -> None:
         super().__init__(spark, path, sources, lambda t: None)
+        self.buckets = self.state.number("buckets", buckets)
         self.shape, self.table = shape, table
         self.names = {s.lower(): s for s in sources}
         #: files read of the state by the last batch, and files of the state
         self.read = (0, 0)
 
+    def _bucket(self, *columns: Column) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int")
+
     # logs by column
 
     def _indexes(self, alias: str) -> list[str]:
@@ -162,7 +164,7 @@ class IncrementalView(View):
         source = self.names.get(name.lower())
         if source is None:
             return self.table(name).withColumn(WEIGHT, F.lit(1))
-        rows = self._buckets(f"{source}@{column}", [r[0] for r in keys.select(_bucket(F.col(key)).alias("b")).distinct().collect()])  # BUCKETS numbers
+        rows = self._buckets(f"{source}@{column}", [r[0] for r in keys.select(self._bucket(F.col(key)).alias("b")).distinct().collect()])  # as many as buckets
         delta = fresh.get(alias)
         if rows is None:
             return delta if new and delta is not None else None
@@ -188,14 +190,14 @@ class IncrementalView(View):
         for name, df in changes.items():
             alias, key = alias_of[name.lower()], self.sources[name]
             if key is not None and WEIGHT not in df.columns:
-                at = [r[0] for r in df.select(_bucket(*[F.col(k) for k in key]).alias("b")).distinct().collect()]
+                at = [r[0] for r in df.select(self._bucket(*[F.col(k) for k in key]).alias("b")).distinct().collect()]
                 held = self._buckets(name, at)
                 if held is not None:
                     held = self._part(held.drop("_bucket"), df, key)
                 df = upserts_to_changes(held, df, key, deleted if deleted in df.columns else None)
-            fresh[alias] = self.state.append(name, batch, df.withColumn("_bucket", _bucket(*[F.col(k) for k in key or df.drop(WEIGHT).columns])), ["_bucket"]).drop("_bucket")
+            fresh[alias] = self.state.append(name, batch, df.withColumn("_bucket", self._bucket(*[F.col(k) for k in key or df.drop(WEIGHT).columns])), ["_bucket"]).drop("_bucket")
             for column in self._indexes(alias):
-                self.state.append(f"{name}@{column}", batch, fresh[alias].withColumn("_bucket", _bucket(F.col(column))), ["_bucket"])
+                self.state.append(f"{name}@{column}", batch, fresh[alias].withColumn("_bucket", self._bucket(F.col(column))), ["_bucket"])
         delta = None
         order = [a for _, a in self.shape.tables]
         for i, alias in enumerate(order):
@@ -244,7 +246,7 @@ class IncrementalView(View):
                 if f != "count":
                     sums.append(F.sum(x(i) * w).alias(f"_s{i}"))
         parts = delta.groupBy(*groups).agg(*sums).withColumn("_k", key)
-        parts = self.state.append("partials", batch, parts.withColumn("_bucket", _bucket(F.col("_k"))), ["_bucket"])
+        parts = self.state.append("partials", batch, parts.withColumn("_bucket", self._bucket(F.col("_k"))), ["_bucket"])
         keys = parts.select("_k").distinct()
         at = [r[0] for r in parts.select("_bucket").distinct().collect()]
         own = self._buckets("partials", at)
@@ -254,7 +256,7 @@ class IncrementalView(View):
         ordered = [i for i, (f, _) in enumerate(self.shape.aggregates) if f in ORDERED]
         for i in ordered:
             values = delta.select(key.alias("_k"), x(i).alias("_x"), w).filter(x(i).isNotNull()).groupBy("_k", "_x").agg(F.sum(w).alias(WEIGHT))
-            values = self.state.append(f"values{i}", batch, values.withColumn("_bucket", _bucket(F.col("_k"))), ["_bucket"])
+            values = self.state.append(f"values{i}", batch, values.withColumn("_bucket", self._bucket(F.col("_k"))), ["_bucket"])
             held = self._buckets(f"values{i}", at)
             held = values if held is None else held.unionByName(values)
             alive = held.join(keys, "_k", "left_semi").groupBy("_k", "_x").agg(F.sum(WEIGHT).alias("_n")).filter("_n > 0")
@@ -275,7 +277,7 @@ class IncrementalView(View):
         if before is not None:
             before = before.drop("_bucket").join(keys, "_k", "left_semi")
             rows = rows.unionByName(before.withColumn(WEIGHT, -F.col(WEIGHT)))
-        out = consolidate(rows).withColumn("_bucket", _bucket(F.col("_k")))
+        out = consolidate(rows).withColumn("_bucket", self._bucket(F.col("_k")))
         return self.state.append("result", batch, out, ["_bucket"]).drop("_k", "_bucket")
 
     def _compact(self, batch: int) -> None:

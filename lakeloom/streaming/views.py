@@ -47,6 +47,17 @@ class State:
     def commit(self, batch: int) -> None:
         self._fs.create(self._p(f"commits/{batch}")).close()
 
+    def number(self, name: str, value: int) -> int:
+        """A number that is set once for the life of the state."""
+        at = self._p("settings")
+        if self._fs.exists(at):
+            for f in self._fs.listStatus(at):
+                found, _, n = f.getPath().getName().rpartition("-")
+                if found == name:
+                    return int(n)
+        self._fs.create(self._p(f"settings/{name}-{value}")).close()
+        return value
+
     def names(self) -> list[str]:
         """The logs that there are."""
         return sorted(n for n in (f.getPath().getName() for f in self._fs.listStatus(self._p(""))) if n != "commits" and self._fs.exists(self._p(f"{n}/log")))

@@ -181,7 +181,7 @@ def test_incremental_joins(spark, tmp_path):
 def test_small_batches_read_little(spark, tmp_path):
     from lakeloom.plans.engine import Engine
 
-    view = Engine(spark).maintain("SELECT o.who AS who, count(*) AS n, max(o.key) AS last FROM orders o JOIN users u ON o.who = u.id GROUP BY o.who", {"orders": ["key"], "users": ["id"]}, f"file://{tmp_path}/v")
+    view = Engine(spark).maintain("SELECT o.who AS who, count(*) AS n, max(o.key) AS last FROM orders o JOIN users u ON o.who = u.id GROUP BY o.who", {"orders": ["key"], "users": ["id"]}, f"file://{tmp_path}/v", buckets=64)
     view.process(0, {"orders": spark.range(2000).selectExpr("CAST(id AS INT) AS key", "CAST(id % 500 AS INT) AS who"), "users": spark.range(500).selectExpr("CAST(id AS INT) AS id")})
     out = view.process(1, {"orders": spark.createDataFrame([(5000, 17), (3, 17)], "key int, who int")})
     assert rows(out) == sorted([(17, 4, 1517, -1), (17, 6, 5000, 1), (3, 4, 1503, -1), (3, 3, 1503, 1)], key=repr)
@@ -198,3 +198,19 @@ def test_other_queries_are_computed_again(spark, tmp_path):
     for sql in ("SELECT DISTINCT x FROM a", "SELECT count(*) AS n FROM a", "SELECT a.x FROM a LEFT JOIN b ON a.x = b.x", "SELECT a.x FROM a JOIN b ON a.x < b.x", "SELECT x FROM a WHERE x IN (SELECT y FROM b)", "SELECT y, sum(x) AS s FROM a GROUP BY z", "SELECT p.x FROM a p JOIN a q ON p.x = q.x", "SELECT * FROM a"):
         assert shape_of(sql, s, []) is None, sql
     assert not isinstance(Engine(spark).maintain("SELECT DISTINCT x FROM a", {"a": None}, f"file://{tmp_path}/v"), IncrementalView)
+
+
+def test_stateful_aggregate_on_a_stream(spark, tmp_path):
+    """The state goes on from one run of a stream to the next; deletes count against it."""
+    from lakeloom.streaming.stateful import stateful_aggregate
+
+    step = lambda s, rows_: (int(s[0] + rows_["_weight"].sum()), int(s[1] + (rows_["v"] * rows_["_weight"]).sum()))
+    aggregate = lambda df: stateful_aggregate(df, ["k"], (0, 0), step, lambda s: (s[1] / s[0] if s[0] else None,), "mean double", "n bigint, total bigint")
+    schema, got = "k string, v int, _weight int", []
+    for name, part in (("a", [("x", 1, 1), ("x", 3, 1), ("y", 5, 1)]), ("b", [("x", 1, -1), ("x", 8, 1)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = aggregate(stream).writeStream.foreachBatch(lambda df, b: got.append(rows(df))).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert [r for r in got if r] == [[("x", 2.0), ("y", 5.0)], [("x", 5.5)]]
+    assert rows(aggregate(spark.createDataFrame([("x", 1, 1), ("x", 4, 1)], schema))) == [("x", 2.5)]
