@@ -88,16 +88,26 @@ class Projected(Space):
     def search(self, shard: Shard, query_ids, queries, kths, near, k):
         length, low = self.queries(queries)
         leaves = np.flatnonzero(shard.nodes[:, 2] < 0)
+        squares = (shard.coords**2).sum(axis=1)
+        # rows are first scored in single precision; slack is the most that this can be off
+        small = 1e-15 < self.norm < 1e15 and 1e-15 < length.min() and length.max() < 1e15
+        kind = np.float32 if small else np.float64
+        slack = length * self.norm * (queries.shape[1] + 8) * float(np.finfo(kind).eps)
+        rough = shard.points.astype(kind)
         for at in range(0, len(queries), TOGETHER):
-            far = self.gaps(shard.lo[leaves], shard.hi[leaves], low[at : at + TOGETHER])
-            for i, own in enumerate(far, at):
-                yield self._incremental(shard, leaves, own, query_ids[i], queries[i], low[i], length[i], kths[i], near[i], k)
-
-    def _incremental(self, shard: Shard, leaves, far, qid, q, low, length, kth, near, k):
+            some = low[at : at + TOGETHER]
+            far = self.gaps(shard.lo[leaves], shard.hi[leaves], some)
+            # where most leaves will be opened, all projected distances come from one product
+            most = (far < self.limits(kths[at : at + TOGETHER], length[at : at + TOGETHER])[:, None]).mean() > 0.5
+            every = squares - 2 * some @ shard.coords.T + (some**2).sum(axis=1)[:, None] if most else [None] * len(some)
+            for i, (own, d) in enumerate(zip(far, every), at):
+                yield self._incremental(shard, rough, slack[i], leaves, own, d, query_ids[i], queries[i], low[i], length[i], kths[i], near[i], k)
+
+    def _incremental(self, shard: Shard, rough, slack, leaves, far, every, qid, q, low, length, kth, near, k):
         best, scores = near
         mine, seen = np.zeros(len(best), bool), 0
         limit = self.limits(kth, length)
-        order = np.argsort(far)
+        order, single = np.argsort(far), q.astype(rough.dtype)
         waiting, at, many, opened, wave = np.zeros(0, np.int64), np.zeros(0), FIRST, 0, 1
         while True:
             # open leaves by the distance of their boxes, more each time
@@ -107,7 +117,7 @@ class Projected(Space):
             if len(fresh):
                 spans = shard.nodes[leaves[fresh], :2]
                 rows = np.concatenate([np.arange(s, e) for s, e in spans])
-                d = ((shard.coords[rows] - low) ** 2).sum(axis=1)
+                d = ((shard.coords[rows] - low) ** 2).sum(axis=1) if every is None else every[rows]
                 waiting, at = np.concatenate([waiting, rows]), np.concatenate([at, d])
             beyond = far[order[opened]] if opened < len(order) else np.inf
             # rows that no unopened leaf can come before, nearest projections first
@@ -121,11 +131,11 @@ class Projected(Space):
                     done, many = done + len(some), 2 * many
                     rows = waiting[some]
                     seen += len(rows)
-                    # a row's sum doesn't depend on the rows beside it, so equal vectors tie
-                    got = (shard.points[rows] * q).sum(axis=1)
-                    good = (got >= kth) & (shard.ids[rows] != qid)
-                    if good.any():
-                        best, scores, mine = merge(best, scores, mine, shard.ids[rows][good], got[good], k)
+                    rows = rows[(rough[rows] @ single >= kth - slack) & (shard.ids[rows] != qid)]
+                    if len(rows):
+                        # a row's sum doesn't depend on the rows beside it, so equal vectors tie
+                        got = (shard.points[rows] * q).sum(axis=1)
+                        best, scores, mine = merge(best, scores, mine, shard.ids[rows], got, k)
                         if len(best) == k and scores[-1] > kth:
                             kth = scores[-1]
                             limit = self.limits(kth, length)
