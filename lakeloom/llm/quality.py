@@ -170,9 +170,14 @@ class Scorer:
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text) of every trigram within a text, one blank before and after it included."""
     text, begin = spaced(data, offsets, _SAME)
     bucket, _ = ngrams(text, 3, BITS)
-    return bucket, np.maximum(0, np.searchsorted(begin, np.arange(1, 1 + len(bucket)), "right") - 1)
+    inside = np.ones(len(bucket), bool)
+    between = begin[1:] - 2  # of a trigram whose middle byte is the blank between two texts
+    inside[between[(between >= 0) & (between < len(bucket))]] = False
+    at = np.flatnonzero(inside)
+    return bucket[at], np.maximum(0, np.searchsorted(begin, at + 1, "right") - 1)
 
 
 def train_scorer(texts: list[str], good: np.ndarray, epochs: int = 150, rate: float = 2.0, decay: float = 1e-6) -> Scorer:

@@ -40,6 +40,40 @@ def test_toxicity_long_text_counts_as_a_whole():
     assert model.logits(pa.array([long, long + " idiot"])).tolist() == pytest.approx([model.logits(pa.array(["good day"]))[0], model.logits(pa.array(["idiot"]))[0]])
 
 
+def test_toxicity_against_single_words():
+    """Word by word with Python sums: the vectorised scores of whole texts equal them."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32), -0.25)
+    texts = ["One two-three", "  a  ", "", None, "Über 4you f00l!! naïve", "日本語 の text", "x" * 5000 + " tail", "same same same"]
+
+    def plain(text):
+        best = None
+        for word in toxicity.normal(np.frombuffer((text or "").lower().encode(), np.uint8)).tobytes().split():
+            buffer = np.frombuffer(b" " + word + b" ", np.uint8)
+            weights = []
+            for n in toxicity.SIZES:
+                bucket, good = toxicity.ngrams(buffer, n, toxicity.BITS)
+                weights += [float(model.weights[b]) for b, g in zip(bucket, good) if g]
+            mean = sum(weights) / len(weights) if weights else 0.0
+            best = mean if best is None else max(best, mean)
+        return (best or 0.0) + model.bias
+
+    assert model.logits(pa.array(texts)) == pytest.approx([plain(t) for t in texts], abs=1e-5)
+
+
+def test_quality_scorer_against_single_texts():
+    rng = np.random.default_rng(5)
+    scorer = quality.Scorer(rng.normal(size=1 << quality.BITS).astype(np.float32), 0.5)
+    texts = ["One two", "", None, "a", "naïve 日本", "z" * 3000]
+
+    def plain(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        buckets = quality._grams(raw, np.array([0, len(raw)]))[0].tolist()
+        return sum(float(scorer.weights[b]) for b in buckets) / max(1, len(buckets)) + scorer.bias
+
+    assert scorer.logits(pa.array(texts)) == pytest.approx([plain(t) for t in texts], abs=1e-5)
+
+
 def test_toxicity_edge_cases(spark, odd):
     labels = spark.createDataFrame([(1, 1, 9), (3, 0, 9), (4, 1, 9), (4, 0, 9), (None, 1, 9), (7, None, 9)], "doc_id long, toxic int, text int")
     out = toxicity.score_documents(odd, labels).collect()
