@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import checks, hashing, strings
 from lakeloom.operators import joins, sets
 from lakeloom.operators.recursion import shared_folder
-from lakeloom.plans import samples
+from lakeloom.plans import queries, samples
 from lakeloom.plans.engine import Engine
 from lakeloom.session import register, settings_kept, table
 from lakeloom.sources import permissions
@@ -85,6 +85,42 @@ _sql(
 )
 
 
+# the same functions in SQL as in the frames of `queries`, against the same DuckDB SQL
+_D = "TIMESTAMP_NTZ '2023-12-31 23:59:59'"
+_sql("sql_datediff", f"SELECT event_id, {', '.join(f"datediff('{p}', {_D}, ts) AS {p.lower()}s" for p in 'YEAR QUARTER MONTH DAY HOUR MINUTE SECOND WEEK'.split())} FROM events", queries.ORACLES["datediff_boundary"])
+_sql(
+    "sql_timestamp_extract",
+    f"SELECT event_id, {', '.join(f"timestamp_extract('{p}', ts) AS {p.lower()}" for p in 'YEAR ISO_YEAR QUARTER MONTH DAY DAY_OF_YEAR MONDAY_DAY_OF_WEEK SUNDAY_DAY_OF_WEEK ISO_WEEK HOUR MINUTE SECOND MONDAY_WEEK SUNDAY_WEEK US_YEAR US_WEEK'.split())} FROM events",
+    queries.ORACLES["timestamp_extract"],
+)
+_sql(
+    "sql_timestamp_add",
+    """SELECT o_orderkey, timestamp_add('YEAR', 1, o_orderdate) AS y, timestamp_add('QUARTER', 2, o_orderdate) AS q, timestamp_add('MONTH', -1, o_orderdate) AS m, timestamp_add('WEEK', 2, o_orderdate) AS w,
+    timestamp_add('MINUTE', 90, o_orderdate) AS mi, floor_timestamp_day(timestamp_add('HOUR', 30, o_orderdate)) AS d FROM orders""",
+    queries.ORACLES["timestamp_add"],
+)
+_sql(
+    "sql_round_calendar",
+    "SELECT event_id, round_calendar(ts, 'FLOOR', 'MONTH', 'YEAR', 4) AS third, round_calendar(ts, 'CEIL', 'HOUR', 'DAY', 6) AS next6, round_calendar(ts, 'ROUND_TIE_UP', 'MINUTE', 'HOUR', 15) AS nearest FROM events",
+    queries.ORACLES["round_calendar"],
+)
+_sql(
+    "sql_format_parse",
+    "SELECT event_id, strftime(unix_micros(CAST(ts AS TIMESTAMP)), '%Y/%m/%d %H:%M:%S') AS a, timestamp_format(ts, 'dd.MM.yy hh:mm tt') AS b, CAST(timestamp_parse(timestamp_format(ts, 'yyyy-MM-dd'), 'yyyy-MM-dd') AS TIMESTAMP_NTZ) AS parsed FROM events",
+    queries.ORACLES["timestamp_format_parse"],
+)
+_sql(
+    "sql_string_functions",
+    """SELECT c_custkey, lower(c_name) AS low, upper(c_mktsegment) AS up, trim('  ' || c_name || ' ') AS trimmed, len(c_name) AS len, strpos(c_name, '#') AS at, substring(c_name, 3, 4) AS part, replace(c_name, '0', 'o') AS replaced,
+    starts_with(c_name, 'Customer#0000') AS starts, c_name || ':' || c_custkey AS joined, string_base64_encode(c_name) AS b64, string_split(c_name, '#') AS parts, c_mktsegment LIKE '%B_IL%' AS matches, string_join('-', list('x', c_mktsegment, NULL)) AS dashed FROM customer""",
+    queries.ORACLES["string_fns"],
+)
+_sql("sql_like", "SELECT p_partkey, p_brand LIKE 'Brand#[1-3][^5]' AS in_set, p_type LIKE '%!_%' ESCAPE '!' AS escaped, NOT (p_name LIKE '%a') AS no_a FROM part", queries.ORACLES["like_escape"])
+_sql(
+    "sql_lists",
+    "SELECT n_nationkey, list_sort_asc_null_last(list(n_regionkey, NULL, n_nationkey)) AS sorted, list_first_difference(list(1, n_nationkey), list(1, n_regionkey)) AS first_difference FROM nation",
+    queries.ORACLES["list_sort"],
+)
 _sql("sql_comma_join", "SELECT n_name, r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey AND r.r_name <> n.n_name", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> n_name")
 _sql("sql_without_from", "SELECT 1 + 1 AS two, 'x' AS letter", "SELECT 2 AS two, 'x' AS letter")
 _sql("sql_limit", "SELECT o_orderkey, twice FROM (SELECT o_orderkey, o_custkey * 2 AS twice FROM orders WHERE o_custkey > 5) d ORDER BY twice DESC, o_orderkey LIMIT 40", "SELECT o_orderkey, o_custkey * 2 AS twice FROM orders WHERE o_custkey > 5 ORDER BY twice DESC, o_orderkey LIMIT 40")
