@@ -38,6 +38,29 @@ def max_by(x: Column, y: Column, spec: WindowSpec, order_desc: list[Column]) ->
     return F.max_by(x, F.when(y.isNotNull(), F.struct(y, *order_desc))).over(spec)
 
 
+def sliding_by(df: DataFrame, partition: list[str], order: list, preceding: int, **columns: tuple[str, str, str]) -> DataFrame:
+    """Add min_by / max_by of (kind, x, y) over the last ``preceding`` rows and the current one.
+
+    x of the first row, in window order, with the least (greatest) y; null y is skipped. ``order``
+    should be total. Rows are cut into blocks of the frame's length, so a frame is the end of one
+    block and the start of the next: running values from both sides of each block give it, with a
+    few steps a row however long the frame (a moving frame takes as many steps as it has rows).
+    """
+    n = preceding + 1
+    whole = Window.partitionBy(*partition).orderBy(*order)
+    out = df.withColumn("_rn", F.row_number().over(whole)).withColumn("_block", F.floor((F.col("_rn") - 1) / n))
+    block = Window.partitionBy(*partition, "_block")
+    ahead, back = (block.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("_rn"), F.desc("_rn")))
+    by_row = Window.partitionBy(*partition).orderBy("_rn")
+    best = {}
+    for name, (kind, x, y) in columns.items():
+        pick, both, sign = (F.min, F.least, 1) if kind == "min_by" else (F.max, F.greatest, -1)
+        row = F.when(F.col(y).isNotNull(), F.struct(F.col(y).alias("y"), (sign * F.col("_rn")).alias("n"), F.col(x).alias("x")))
+        out = out.withColumn(f"_a_{name}", pick(row).over(ahead)).withColumn(f"_b_{name}", pick(row).over(back))
+        best[name] = both(F.col(f"_a_{name}"), F.lag(f"_b_{name}", preceding).over(by_row))["x"]
+    return out.select(*df.columns, *[b.alias(name) for name, b in best.items()])
+
+
 def surrogate_key(df: DataFrame, partition: list[str], column: str = "surrogate_key") -> DataFrame:
     """Add one number per partition key: 0 to n - 1, unique, without a sort of all keys in a task."""
     keys = surrogate_keys(df, partition, column)

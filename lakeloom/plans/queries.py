@@ -297,8 +297,17 @@ def last_value_ignore_nulls(t):
     arg_max(ts, (value, -event_id)) OVER ({_W} ROWS BETWEEN 364 PRECEDING AND CURRENT ROW) AS high_at FROM events"""
 )
 def win_min_by(t):
-    w = _events(t, (-364, 0))
-    return t("events").select("event_id", windows.min_by(c("ts"), c("value"), w, [c("event_id")]).alias("low_at"), windows.max_by(c("ts"), c("value"), w, [-c("event_id")]).alias("high_at"))
+    e = t("events").select("event_id", "user_id", "ts", "value")
+    return windows.sliding_by(e, ["user_id"], ["ts", "event_id"], 364, low_at=("min_by", "ts", "value"), high_at=("max_by", "ts", "value")).select("event_id", "low_at", "high_at")
+
+
+@query(
+    f"""SELECT event_id, arg_min(ts, (value, event_id)) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS low_at,
+    arg_max(ts, (value, -event_id)) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS high_at FROM events"""
+)
+def win_min_by_frames(t):
+    w, whole = _events(t, (-2, 3)), _events(t)
+    return t("events").select("event_id", windows.min_by(c("ts"), c("value"), w, [c("event_id")]).alias("low_at"), windows.max_by(c("ts"), c("value"), whole, [-c("event_id")]).alias("high_at"))
 
 
 @query(

@@ -102,3 +102,19 @@ def test_exchange(spark):
     df = spark.range(100)
     assert joins.exchange(df, "scatter", ["id"], 3).rdd.getNumPartitions() == 3
     assert joins.exchange(df, "single").rdd.getNumPartitions() == 1
+
+
+def test_sliding_by_equals_moving_frames(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lakeloom.operators import windows
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([(rng.randrange(3), i, rng.choice([None, *range(6)]), f"r{i}") for i in range(120)], "g int, t int, y int, x string")
+    for preceding in (0, 1, 4, 60, 500):
+        w = windows.window(["g"], ["t"], (-preceding, 0))
+        want = df.select("*", windows.min_by(F.col("x"), F.col("y"), w, [F.col("t")]).alias("lo"), windows.max_by(F.col("x"), F.col("y"), w, [-F.col("t")]).alias("hi"))
+        got = windows.sliding_by(df, ["g"], ["t"], preceding, lo=("min_by", "x", "y"), hi=("max_by", "x", "y"))
+        assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
