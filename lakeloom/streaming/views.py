@@ -107,6 +107,23 @@ class State:
                 self._fs.delete(self._p(f"{name}/log/{old}"), True)
 
 
+def offsets(spark: SparkSession, checkpoint: str) -> dict[int, object]:
+    """The watermark of a stream: how far each of its sources (by number) has been taken in.
+
+    All changes up to these offsets are in the view. Empty before the first batch is committed.
+    """
+    jvm = spark.sparkContext._jvm
+    at = lambda rest: jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/{rest}")
+    fs = at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at("commits")):
+        return {}
+    done = [int(n) for n in (f.getPath().getName() for f in fs.listStatus(at("commits"))) if n.isdigit()]
+    if not done:
+        return {}
+    lines = [r[0] for r in spark.read.text(f"{checkpoint.rstrip('/')}/offsets/{max(done)}", wholetext=True).collect()][0].splitlines()
+    return {i: None if x == "-" else json.loads(x) for i, x in enumerate(lines[2:])}
+
+
 class View:
     """A maintained query.
 
@@ -183,7 +200,9 @@ class View:
     def start(self, name: str, stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, order: str | None = None, trigger: dict | None = None):
         """Feed one source from a stream; ``sink`` gets each batch's output changes.
 
-        Rows of one key within a batch are reduced to the last by ``order``.
+        Rows of one key within a batch are reduced to the last by ``order``. Before a trigger that
+        goes on (such as a processing time), a stream without a checkpoint is first read to its
+        present end, so the first checkpoint comes after the initial load.
         """
 
         def run(df: DataFrame, batch: int) -> None:
@@ -194,7 +213,10 @@ class View:
             if out is not None and sink is not None:
                 sink(out, batch)
 
-        return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        writer = lambda when: stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**when).start()
+        if trigger and "availableNow" not in trigger and not offsets(self.spark, checkpoint):
+            writer({"availableNow": True}).awaitTermination()
+        return writer(trigger or {"availableNow": True})
 
 
 class KeyedSink:

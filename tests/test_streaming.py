@@ -214,3 +214,29 @@ def test_stateful_aggregate_on_a_stream(spark, tmp_path):
         query.awaitTermination()
     assert [r for r in got if r] == [[("x", 2.0), ("y", 5.0)], [("x", 5.5)]]
     assert rows(aggregate(spark.createDataFrame([("x", 1, 1), ("x", 4, 1)], schema))) == [("x", 2.5)]
+
+
+def test_initial_load_comes_first(spark, tmp_path):
+    """With a trigger that goes on, what is there is taken in before the first checkpoint that goes on; the watermark follows."""
+    import time
+
+    (tmp_path / "in").mkdir()
+    schema = "k int, v int"
+    add = lambda name, *r: spark.createDataFrame(list(r), schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    add("a", (1, 10), (2, 5))
+    view = View(spark, f"file://{tmp_path}/s", {"t": ["k"]}, lambda t: t["t"].agg(F.sum("v").alias("s")))
+    assert views.offsets(spark, f"file://{tmp_path}/cp") == {}
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = view.start("t", stream, f"file://{tmp_path}/cp", trigger={"processingTime": "200 milliseconds"})
+    try:
+        assert rows(view.result()) == [(15,)]
+        first = views.offsets(spark, f"file://{tmp_path}/cp")
+        add("b", (2, 7))
+        for _ in range(100):
+            if rows(view.result()) == [(17,)]:
+                break
+            time.sleep(0.3)
+        assert rows(view.result()) == [(17,)]
+    finally:
+        query.stop()
+    assert set(first) == {0} and views.offsets(spark, f"file://{tmp_path}/cp") != first
