@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import checks, hashing, strings
 from lakeloom.operators import joins, sets
 from lakeloom.operators.recursion import shared_folder
-from lakeloom.plans import queries, samples
+from lakeloom.plans import queries, samples, substrait
 from lakeloom.plans.engine import Engine
 from lakeloom.session import register, settings_kept, table
 from lakeloom.sources import permissions
@@ -350,3 +351,31 @@ def insert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 30")
 def fetch_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.fetch(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 30, F.asc("o_totalprice"))
+
+
+@_add(
+    """SELECT n_name AS nation, count(*) AS n, max(o_totalprice) AS most, count(*) FILTER (WHERE o_totalprice > 100000) AS dear, CASE WHEN count(*) > 600 THEN 'many' ELSE 'few' END AS label
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND n_regionkey + 1 < 4 GROUP BY n_name ORDER BY n DESC, nation LIMIT 9"""
+)
+def substrait_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan document: joins, filters, an aggregate with a filtered measure, expressions, sort and fetch."""
+    field = lambda i: {"selection": {"directReference": {"structField": {"field": i}}, "rootReference": {}}}
+    names = ["equal:any_any", "lt:any_any", "gt:any_any", "add:i64_i64", "count:", "max:fp64"]
+    call = lambda name, *a: {"scalarFunction": {"functionReference": [n.partition(":")[0] for n in names].index(name), "arguments": [{"value": x} for x in a]}}
+    read = lambda name, *cols: {"read": {"baseSchema": {"names": list(cols)}, "namedTable": {"names": [name]}}}
+    text = lambda x: {"literal": {"string": x}}
+    orders = read("orders", "o_custkey", "o_orderpriority", "o_totalprice")
+    orders["read"]["filter"] = {"singularOrList": {"value": field(1), "options": [text("1-URGENT"), text("2-HIGH")]}}
+    join = lambda left, right, a, b: {"join": {"left": left, "right": right, "type": "JOIN_TYPE_INNER", "expression": call("equal", field(a), field(b))}}
+    joined = join(join(orders, read("customer", "c_custkey", "c_nationkey"), 0, 3), read("nation", "n_nationkey", "n_name", "n_regionkey"), 4, 5)
+    some = {"filter": {"input": joined, "condition": call("lt", call("add", field(7), {"literal": {"i64": "1"}}), {"literal": {"i64": "4"}})}}
+    measure = lambda name, *a, **more: {"measure": {"functionReference": [n.partition(":")[0] for n in names].index(name), "arguments": [{"value": x} for x in a]}} | more
+    grouped = {"aggregate": {"input": some, "groupings": [{"groupingExpressions": [field(6)]}], "measures": [measure("count"), measure("max", field(2)), measure("count", filter=call("gt", field(2), {"literal": {"fp64": 100000.0}}))]}}
+    label = {"ifThen": {"ifs": [{"if": call("gt", field(1), {"literal": {"i64": "600"}}), "then": text("many")}], "else": text("few")}}
+    shown = {"project": {"input": grouped, "expressions": [label], "common": {"emit": {"outputMapping": [0, 1, 2, 3, 4]}}}}
+    ordered = {"sort": {"input": shown, "sorts": [{"expr": field(1), "direction": "SORT_DIRECTION_DESC_NULLS_LAST"}, {"expr": field(0), "direction": "SORT_DIRECTION_ASC_NULLS_FIRST"}]}}
+    plan = {
+        "extensions": [{"extensionFunction": {"functionAnchor": i, "name": n}} for i, n in enumerate(names)],
+        "relations": [{"root": {"input": {"fetch": {"input": ordered, "offset": "0", "count": "9"}}, "names": ["nation", "n", "most", "dear", "label"]}}],
+    }
+    return substrait.frame(spark, json.dumps(plan), lambda name: table(spark, sf_dir, name))
