@@ -129,6 +129,21 @@ def test_hashes(spark, x, kind, short, long):
     assert value(spark, hashing.xxhash128_guid(c)) == long
 
 
+def test_hashes_of_columns_equal_hashes_of_values(spark):
+    """Whole columns, with nulls, against bytes put together value by value."""
+    import struct
+    from decimal import Decimal
+
+    import xxhash
+
+    rows_ = [(1, 2.5, "é", True, b"xy", Decimal("1.50"), [1, None], ("a", 3), {"k": 7}), (None,) * 9, (-7, float("nan"), "", False, b"", Decimal("-12345678901.000001"), [], (None, 4), {}), (1 << 62, -0.0, "long " * 50, None, None, None, [5], ("b", None), {"x": None})]
+    df = spark.createDataFrame(rows_, "i bigint, d double, s string, b boolean, y binary, m decimal(30,6), l array<bigint>, r struct<p:string,q:bigint>, k map<string,bigint>").repartition(2)
+    for names in (["i"], ["d"], ["s"], ["b"], ["y"], ["m"], ["l"], ["r"], ["k"], ["s", "i"], ["i", "d", "s", "b", "y", "m", "l", "r", "k"]):
+        for r in df.select(*names, hashing.xxhash64(*[F.col(n) for n in names]).alias("h")).collect():
+            plain = b"".join(hashing.value_bytes(dict(r[n]) if isinstance(r[n], dict) else list(r[n]) if isinstance(r[n], (list, tuple)) else r[n]) for n in names)
+            assert r["h"] == struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(plain)))[0], names
+
+
 def test_hash_of_two(spark):
     assert value(spark, hashing.xxhash64(F.lit(123).cast("bigint"), F.lit("hello"))) == -79122209000784278
 
