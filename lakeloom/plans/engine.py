@@ -38,6 +38,7 @@ class Engine:
         self.clock, self.tick, self.substream = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None)), tick, substream
         self._now: datetime | None = None
         self._checks: list[str] = []
+        self._hints: dict[str, dict[str, str]] = {}
 
     def function(self, name: str, f: Callable) -> None:
         """Register a (pandas) UDF, grouped-aggregate UDF or UDTF for SQL."""
@@ -75,6 +76,7 @@ class Engine:
             elif self.substream is not None and current is not None and current.lower() != self.substream.lower():
                 continue
             self._checks += s.checks
+            self._hints = s.hints
             if s.kind == "create_table":
                 self._create_table(s)
             elif s.kind == "create_view":
@@ -143,8 +145,9 @@ class Engine:
     def _resolve(self, name: str) -> None:
         """Make a registry table readable by name."""
         view = name.replace(".", "_") if "." in name else name
-        if self.registry.source_for(name) and not self.spark.catalog.tableExists(view):
-            self.registry.read(self.spark, name, self.schemas.get(name.lower())).createOrReplaceTempView(view)
+        hints = self._hints.get(name.lower())
+        if self.registry.source_for(name) and (hints or not self.spark.catalog.tableExists(view)):
+            self.registry.read(self.spark, name, self.schemas.get(name.lower()), hints).createOrReplaceTempView(view)
 
     def _create_table(self, s: dialect.Statement) -> None:
         self.schemas[s.name.lower()] = ", ".join(f"`{c}` {dialect.spark_type(t)}" for c, t in s.columns)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Reader = Callable[[SparkSession, str, "str | None"], DataFrame]
+Reader = Callable[..., DataFrame]
 Writer = Callable[[SparkSession, str, DataFrame, "list[str]", bool], None]
 
 
 class Registry:
     """Regular expressions of table names with their readers and writers; catalogs by prefix.
 
-    A reader gets (spark, table, schema or None); a writer (spark, table, frame, primary key,
+    A reader gets (spark, table, schema or None), and the hints of FROM table WITH (…) if it has a
+    fourth parameter; a writer (spark, table, frame, primary key,
     overwrite). Patterns match whole names, without case; the first that matches wins.
     """
 
@@ -50,11 +52,12 @@ class Registry:
         found = self._find(name, "sinks")
         return found and found[0]
 
-    def read(self, spark: SparkSession, name: str, schema: str | None = None) -> DataFrame:
+    def read(self, spark: SparkSession, name: str, schema: str | None = None, hints: dict[str, str] | None = None) -> DataFrame:
         found = self._find(name, "sources")
         if not found:
             raise LookupError(f"no source for {name}")
-        return found[0](spark, found[1], schema)
+        takes_hints = len(inspect.signature(found[0]).parameters) > 3
+        return found[0](spark, found[1], schema, hints or {}) if takes_hints else found[0](spark, found[1], schema)
 
     def write(self, spark: SparkSession, name: str, df: DataFrame, key: list[str], overwrite: bool) -> None:
         found = self._find(name, "sinks")

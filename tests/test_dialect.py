@@ -179,3 +179,16 @@ def test_substreams_are_run_by_name(spark):
     sql = "SELECT 0 AS x; SUBSTREAM one; SELECT 1 AS x; SUBSTREAM two; SELECT 2 AS x"
     xs = lambda e: [df.first()[0] for df in e.sql(sql)]
     assert xs(Engine(spark)) == [0, 1, 2] and xs(Engine(spark, substream="One")) == [0, 1] and xs(Engine(spark, substream="two")) == [0, 2]
+
+
+def test_hints_reach_the_reader(spark):
+    seen = []
+
+    def read(s, name, schema, hints):
+        seen.append((name, hints))
+        return s.createDataFrame([(1, "x")], "id int, v string")
+
+    engine = Engine(spark, Registry().add_source("hinted.*", read).add_source("plain", lambda s, name, schema: s.createDataFrame([(1,)], "id int")))
+    assert rows(engine.query("SELECT h.v FROM hinted_a h WITH (size = 5, mode = 'fast') JOIN plain p ON p.id = h.id")) == [("x",)]
+    assert rows(engine.query("SELECT v FROM hinted_b")) == [("x",)]
+    assert seen == [("hinted_a", {"size": "5", "mode": "fast"}), ("hinted_b", {})]
