@@ -55,7 +55,7 @@ def traits(texts: pa.Array) -> dict[str, np.ndarray]:
     data, offsets = utf8(texts)
     n = len(offsets) - 1
     out = {k: np.zeros(n) for k in (*_COUNTED, "words", "repeats")}
-    wide = data.size and int(data.max()) >= 0xD6  # the first byte of the least of STOPS
+    leads = np.bincount(data, minlength=256)
     for lo, hi in spans(offsets):
         raw, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if not len(raw):
@@ -73,8 +73,9 @@ def traits(texts: pa.Array) -> dict[str, np.ndarray]:
         out["words"][lo:hi] += np.bincount(doc, minlength=hi - lo)
         same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
         out["repeats"][lo:hi] += np.bincount(doc[1:][same], minlength=hi - lo)
-    for sign in STOPS if wide else ():
-        out["stop"] += pc.count_substring(texts, sign).fill_null(0).to_numpy(zero_copy_only=False)
+    for sign in STOPS:
+        if leads[sign.encode()[0]]:
+            out["stop"] += pc.count_substring(texts, sign).fill_null(0).to_numpy(zero_copy_only=False)
     return out
 
 
