@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import map_texts, sampled, spans, utf8
+from lakeloom.llm._common import CHUNK_BYTES, map_texts, sampled, spans, utf8
 from lakeloom.llm._kernels import ngrams, spaced, word_starts
 from lakeloom.llm.bpe import slice_hashes
 
@@ -54,15 +54,15 @@ def traits(texts: pa.Array) -> dict[str, np.ndarray]:
     """Counts over each whole text; null counts as empty."""
     data, offsets = utf8(texts)
     n = len(offsets) - 1
-    out = {k: np.zeros(n) for k in (*_COUNTED, "words", "repeats")}
-    leads = np.bincount(data, minlength=256)
+    histogram = np.zeros((n, 256))
+    for i in range(n):
+        for at in range(offsets[i], offsets[i + 1], CHUNK_BYTES):
+            histogram[i] += np.bincount(data[at : min(at + CHUNK_BYTES, offsets[i + 1])], minlength=256)
+    out = {k: histogram @ t for k, t in _COUNTED.items()} | {k: np.zeros(n) for k in ("words", "repeats")}
     for lo, hi in spans(offsets):
         raw, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if not len(raw):
             continue
-        freq = {k: np.concatenate([[0], np.cumsum(t[raw], dtype=np.int64)]) for k, t in _COUNTED.items()}
-        for k, c in freq.items():
-            out[k][lo:hi] = c[off[1:]] - c[off[:-1]]
         text, begin = spaced(raw, off, _WHITE)
         start = word_starts(text)
         if not len(start):
@@ -74,7 +74,7 @@ def traits(texts: pa.Array) -> dict[str, np.ndarray]:
         same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
         out["repeats"][lo:hi] += np.bincount(doc[1:][same], minlength=hi - lo)
     for sign in STOPS:
-        if leads[sign.encode()[0]]:
+        if histogram[:, sign.encode()[0]].any():
             out["stop"] += pc.count_substring(texts, sign).fill_null(0).to_numpy(zero_copy_only=False)
     return out
 
@@ -161,13 +161,16 @@ class Scorer:
     bias: float
 
     def logits(self, texts: pa.Array) -> np.ndarray:
+        """A text of n bytes has n trigrams: those whose middle byte is one of its own."""
         data, offsets = utf8(texts)
-        total, count = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
+        total, count = np.zeros(len(offsets) - 1), np.diff(offsets)
         for lo, hi in spans(offsets):
-            bucket, doc = _grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            total[lo:hi] += np.bincount(doc, self.weights[bucket], hi - lo)
-            count[lo:hi] += np.bincount(doc, minlength=hi - lo)
-        return total / np.maximum(1, count) + self.bias
+            text, begin = spaced(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], _SAME)
+            bucket, _ = ngrams(text, 3, BITS)
+            weights = np.append(self.weights[bucket], np.float32(0))
+            ends = np.stack([begin - 1, begin - 1 + count[lo:hi]], 1).ravel()
+            total[lo:hi] = np.add.reduceat(weights, np.minimum(ends, len(weights) - 1), dtype=np.float64)[::2]
+        return np.where(count > 0, total, 0) / np.maximum(1, count) + self.bias
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
