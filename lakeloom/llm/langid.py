@@ -64,16 +64,20 @@ class Model:
         hits, total = np.zeros((n, k)), np.zeros(n)
         for lo, hi in spans(offsets):
             for h, doc in _hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
-                doc = doc + lo
-                total[lo:hi] += np.bincount(doc - lo, minlength=hi - lo)
+                total[lo:hi] += np.bincount(doc, minlength=hi - lo)
                 cells = _cells(h)
                 for p, plane in enumerate(self.planes):
                     mask = plane[cells[0]]
                     for c in cells[1:]:
                         mask = mask & plane[c]
-                    for b in range(min(64, k - 64 * p)):
+                    width = min(64, k - 64 * p)
+                    if width <= 8:  # one histogram of masks per text, then its popcounts
+                        masks = np.bincount(doc << width | mask, minlength=(hi - lo) << width).reshape(hi - lo, 1 << width)
+                        hits[lo:hi, 64 * p : 64 * p + width] += masks @ (np.arange(1 << width)[:, None] >> np.arange(width) & 1)
+                        continue
+                    for b in range(width):
                         own = doc[(mask >> mask.dtype.type(b)) & mask.dtype.type(1) != 0]
-                        hits[lo:hi, 64 * p + b] += np.bincount(own - lo, minlength=hi - lo)
+                        hits[lo:hi, 64 * p + b] += np.bincount(own, minlength=hi - lo)
         rate = np.clip((hits / np.maximum(1, total)[:, None] - self.false_rate) / (1 - self.false_rate), 0, 1)
         if not k:
             return np.full(n, -1), np.zeros(n)
@@ -86,8 +90,9 @@ class Model:
 
 
 def _any_ascii_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    letter = np.concatenate([[0], np.cumsum((data >= 0x61) & (data <= 0x7A))])
-    return letter[offsets[1:]] > letter[offsets[:-1]]
+    letter = np.append((data >= 0x61) & (data <= 0x7A), False)
+    found = np.logical_or.reduceat(letter, offsets[:-1]) if len(offsets) > 1 else np.zeros(0, bool)
+    return found & (offsets[1:] > offsets[:-1])
 
 
 def train(texts: list[str], langs: list[str]) -> Model:
