@@ -118,3 +118,16 @@ def test_sliding_by_equals_moving_frames(spark):
         want = df.select("*", windows.min_by(F.col("x"), F.col("y"), w, [F.col("t")]).alias("lo"), windows.max_by(F.col("x"), F.col("y"), w, [-F.col("t")]).alias("hi"))
         got = windows.sliding_by(df, ["g"], ["t"], preceding, lo=("min_by", "x", "y"), hi=("max_by", "x", "y"))
         assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_crowded_ranges_spread_over_tiles(spark, monkeypatch):
+    """A crowded bucket's pairs come from many tasks, each pair once: equal rows, nulls and thin buckets too."""
+    monkeypatch.setattr(joins, "CANDIDATES", 500, raising=False)
+    for name, rows_ in (("POINTS", 4), ("RANGES", 8), ("TILE", 32)):
+        monkeypatch.setattr(joins, name, rows_, raising=False)
+    left = spark.createDataFrame([(i, float(i % 90) / 9) for i in range(180)] + [(500, 3.0)] * 3 + [(600, None), (601, 31.0), (602, 99.0)], "id int, v double")
+    right = spark.createDataFrame([(i, float(i % 40) / 5, float(i % 40) / 5 + 4) for i in range(120)] + [(700, 30.0, 32.0), (701, None, 3.0), (702, 5.0, 1.0)], "part int, lo double, hi double")
+    got = joins.range_join(left, right, "v", "lo", "hi", 4.0)
+    want = [(a["id"], a["v"], *b) for a in left.collect() for b in right.collect() if None not in (a["v"], b["lo"]) and b["lo"] <= a["v"] <= b["hi"]]
+    assert got.columns == ["id", "v", "part", "lo", "hi"] and sorted(map(tuple, got.collect())) == sorted(want)
+    assert len({r[0] for r in got.filter("part < 700").select(F.spark_partition_id()).distinct().collect()}) > 6
