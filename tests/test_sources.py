@@ -302,3 +302,39 @@ def test_jdbc_round_trip(spark):
     assert got.rdd.getNumPartitions() == 4 and rows(got.filter("id >= 45").selectExpr("id", "name")) == [(i, f"n{i}") for i in range(45, 50)]
     stores.jdbc_sink(df.limit(3), url, "things", overwrite=True, **more)
     assert stores.jdbc_source(spark, url, "things", **more).count() == 3
+
+
+def test_inherited_members_of_any_graph(spark, monkeypatch, tmp_path):
+    """Trees, several parents, cycles and long chains, numbers and texts as ids: all pairs, each once,."""
+    rng = random.Random(5)
+    graphs = [
+        [(i // 2, i) for i in range(2, 60)],
+        [(rng.randrange(i), i) for i in range(1, 40) for _ in range(3)],
+        [(i, i + 1) for i in range(12)] + [(12, 4), (3, 3), (20, 4)],
+        [(f"g{i // 3}", f"g{i}") for i in range(1, 30)] + [("g5", "g5"), ("7", "07"), ("g1", None)],
+        [(None, "2"), (1, 2), (2, 3)],
+    ]
+    for edges in graphs:
+        nodes = sorted({x for e in edges for x in e if x is not None}, key=str) + ["007"]
+        direct = [(rng.choice(nodes), f"u{rng.randrange(9)}") for _ in range(50)]
+        text = lambda x: None if x is None else str(x)
+        want, more = {(text(a), u) for a, u in direct}, True
+        while more:
+            more = {(text(a), u) for a, b in edges if b is not None for g, u in want if g == text(b)} - want
+            want |= more
+        out = spark.createDataFrame([(text(a), "user", u) for a, u in direct], "object_id string, subject_type string, subject_id string")
+        links = spark.createDataFrame([(text(a), text(b)) for a, b in edges * 2], "object_id string, _via string")
+        for most in (100_000, 2):
+            monkeypatch.setattr(permissions, "ABOVE", most)
+            got = [(a, b) for a, _, b in map(tuple, permissions._inherited(out, links).collect())]
+            assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_pairs_of_a_deep_hierarchy_are_not_moved(spark):
+    """Rows that the last step shuffles are as many as the subjects' objects, not as the pairs."""
+    links = spark.createDataFrame([(str(i // 2), str(i)) for i in range(2, 512)], "object_id string, _via string")
+    out = spark.createDataFrame([(str(i), "user", f"u{i}") for i in range(1, 512)], "object_id string, subject_type string, subject_id string")
+    found = permissions._inherited(out, links) if hasattr(permissions, "_inherited") else permissions.iterate(out, lambda new: links.join(new.withColumnRenamed("object_id", "_o"), F.col("_via") == F.col("_o")).select(*permissions.PAIR), distinct=True)
+    plan = found.distinct()._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == sum(i.bit_length() for i in range(1, 512))
+    assert "Generate explode" in plan and "Exchange" not in plan[: plan.index("Generate explode")]
