@@ -24,8 +24,9 @@ from lakeloom.plans import dialect
 from lakeloom.streaming.changes import WEIGHT, upserts_to_changes
 from lakeloom.streaming.views import View
 
-#: Buckets of a new view's logs: files that a batch writes at most, and what a key's share of the state is.
+#: Buckets of a new view's logs: folders that a batch writes, and what a key's share of the state is. Shuffled bytes of a task.
 BUCKETS = 16
+TASK_BYTES = 4 << 20
 LINEAR, ORDERED = ("count", "sum", "avg"), ("min", "max")
 _NAME = re.compile(r"[A-Za-z_][\w]*")
 _WORDS = set("AND OR NOT CASE WHEN THEN ELSE END AS CAST IS NULL TRUE FALSE BETWEEN LIKE RLIKE IN BIGINT INT DOUBLE STRING DECIMAL DATE TIMESTAMP TIMESTAMP_NTZ BOOLEAN INTERVAL".split())
@@ -182,6 +183,16 @@ class IncrementalView(View):
     # a batch
 
     def process(self, batch: int, changes: dict[str, DataFrame], deleted: str | None = None) -> DataFrame | None:
+        """As for any view. Tasks take TASK_BYTES of a shuffle at most, as they hold many sorted inputs at once."""
+        conf, name = self.spark.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+        before = conf.get(name)
+        conf.set(name, str(min(TASK_BYTES, self.spark._jsparkSession.sessionState().conf().getConf(self.spark._jvm.org.apache.spark.sql.internal.SQLConf.ADVISORY_PARTITION_SIZE_IN_BYTES()))))
+        try:
+            return self._process(batch, changes, deleted)
+        finally:
+            conf.set(name, before)
+
+    def _process(self, batch: int, changes: dict[str, DataFrame], deleted: str | None) -> DataFrame | None:
         if batch <= self.state.committed():
             return None
         self.read = (0, 0)
@@ -247,7 +258,7 @@ class IncrementalView(View):
                     sums.append(F.sum(x(i) * w).alias(f"_s{i}"))
         parts = delta.groupBy(*groups).agg(*sums).withColumn("_k", key)
         parts = self.state.append("partials", batch, parts.withColumn("_bucket", self._bucket(F.col("_k"))), ["_bucket"])
-        keys = parts.select("_k").distinct()
+        keys = parts.select("_k")  # one row a group
         at = [r[0] for r in parts.select("_bucket").distinct().collect()]
         own = self._buckets("partials", at)
         own = parts if own is None else own.unionByName(parts)

@@ -23,6 +23,11 @@ from lakeloom.streaming.changes import WEIGHT, apply, upserts_to_changes
 COMPACT = 16
 
 
+def gathered(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of one folder together, but a large folder's rows in several tasks (and files)."""
+    return df.hint("rebalance", *[F.col(c) for c in by])
+
+
 class State:
     """Logs of weighted rows in a shared folder, and the batches that are committed."""
 
@@ -65,7 +70,7 @@ class State:
     def append(self, name: str, batch: int, df: DataFrame, by: list[str] | None = None) -> DataFrame:
         """Write one batch's rows, in folders ``by`` columns; they count once the batch is committed."""
         at = f"{self.path}/{name}/log/{batch}"
-        (df.repartition(*by).write.partitionBy(*by) if by else df.write).mode("overwrite").parquet(at)
+        (gathered(df, by).write.partitionBy(*by) if by else df.write).mode("overwrite").parquet(at)
         if not self._fs.exists(self._p(f"{name}/schema")):
             self.spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.text(f"{self.path}/{name}/schema")
         return self.spark.read.schema(df.schema).parquet(at)
@@ -98,7 +103,7 @@ class State:
             return
         target = f"{self.path}/{name}/base"
         merged = merge(self.rows(name))
-        (merged.repartition(*by).write.partitionBy(*by) if by else merged.write).mode("overwrite").parquet(f"{target}/_merging")
+        (gathered(merged, by).write.partitionBy(*by) if by else merged.write).mode("overwrite").parquet(f"{target}/_merging")
         self._fs.rename(self._p(f"{name}/base/_merging"), self._p(f"{name}/base/{last}"))
         for old in bases:
             self._fs.delete(self._p(f"{name}/base/{old}"), True)

@@ -240,3 +240,18 @@ def test_initial_load_comes_first(spark, tmp_path):
     finally:
         query.stop()
     assert set(first) == {0} and views.offsets(spark, f"file://{tmp_path}/cp") != first
+
+
+def test_large_buckets_are_written_by_several_tasks(spark, tmp_path):
+    """One bucket of a log isn't one task's work, however many rows it has."""
+    from lakeloom.streaming.views import State
+
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "50000")
+    try:
+        df = State(spark, f"file://{tmp_path}/s").append("rows", 0, spark.range(0, 200_000, 1, 8).selectExpr("id", "xxhash64(id) AS x", "CAST(id % 2 AS INT) AS _bucket"), ["_bucket"])
+    finally:
+        spark.conf.set(name, before)
+    files = list((tmp_path / "s/rows/log/0").glob("_bucket=0/*.parquet"))
+    assert len(files) > 2 and df.count() == df.distinct().count() == 200_000
